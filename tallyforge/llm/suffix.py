@@ -104,34 +104,40 @@ class SuffixArray:
         self.end = np.repeat(offsets[1:], size)
         self.group = np.repeat(group, size)
         self.begin, self.sizes = offsets[:-1], size
-        wide = np.zeros(n + 8, _U)
-        wide[:n] = data.astype(_U) + _U(1)
-        head = np.zeros(n, _U)
+        # One sort key: the group's number above, then bytes of nine bits each; a suffix that ends sorts before every byte.
+        names, number = np.unique(group, return_inverse=True)
+        h = (64 - max(1, len(names) - 1).bit_length()) // 9
+        wide = np.zeros(n + h, np.uint16)
+        wide[:n] = data
+        wide[:n] += np.uint16(1)
         left = self.end - np.arange(n)
-        for j in range(7):
-            # Seven bytes of nine bits each: a suffix that ends sorts before every byte.
-            head = head << _U(9) | np.where(left > j, wide[j : j + n], _U(0))
-        order = np.lexsort((head, self.group))
+        key = np.repeat(number.astype(_U), size)
+        for j in range(h):
+            key = key << _U(9) | np.where(left > j, wide[j : j + n], np.uint16(0))
+        order = np.argsort(key)
         changed = np.ones(n, bool)
-        changed[1:] = (head[order][1:] != head[order][:-1]) | (self.group[order][1:] != self.group[order][:-1])
+        sorted_ = key[order]
+        changed[1:] = sorted_[1:] != sorted_[:-1]
         rank = np.empty(n, np.int64)
         rank[order] = np.maximum.accumulate(np.where(changed, np.arange(n), 0))
-        h = 7
         while True:
             # Places in groups of more than one suffix that don't all end within h bytes.
             firsts = np.flatnonzero(changed)
             many = np.repeat(np.diff(np.append(firsts, n)) > 1, np.diff(np.append(firsts, n)))
             slots = np.flatnonzero(many)
+            at = order[slots]
             if not len(slots) or h >= (size.max() if len(size) else 0):
+                # What is left are equal suffixes that end with their segments; Kasai's rule needs them in order of place.
+                order[slots] = at[np.argsort(rank[at] * np.int64(n + 1) + at)]
                 break
-            at = order[slots]
             beyond = at + h
             second = np.where(beyond < self.end[at], rank[np.minimum(beyond, n - 1)], -1)
-            sort = np.lexsort((second, rank[at]))
+            pair = rank[at] * np.int64(n + 1) + second + 1
+            sort = np.argsort(pair)
             order[slots] = at[sort]
-            key, next_ = rank[at][sort], second[sort]
+            pair = pair[sort]
             fresh = np.ones(len(slots), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (next_[1:] != next_[:-1])
+            fresh[1:] = pair[1:] != pair[:-1]
             changed[slots] = fresh
             rank[order[slots]] = np.maximum.accumulate(np.where(fresh, slots, 0))
             h *= 2
@@ -139,23 +145,27 @@ class SuffixArray:
         self.rank[order] = np.arange(n)
 
     def common(self) -> np.ndarray:
-        """For each place, the common prefix of its suffix and the one before in order: Kasai's walk along all segments at once."""
+        """For each window's place, the common prefix of its suffix and the one before in order: Kasai's walk along all segments at once."""
         out = np.zeros(len(self.data), np.int32)
         held = np.zeros(len(self.begin), np.int64)
-        for j in range(int(self.sizes.max()) if len(self.sizes) else 0):
-            live = np.flatnonzero(self.sizes > j)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data), "<u8", padded.data, strides=(1,))
+        for j in range(int(self.sizes.max()) - WINDOW + 1 if len(self.sizes) else 0):
+            live = np.flatnonzero(self.sizes - WINDOW >= j)
             p = self.begin[live] + j
             slot = self.rank[p]
             q = self.order[np.maximum(slot - 1, 0)]
             paired = (slot > 0) & (self.group[q] == self.group[p])
             h = np.where(paired, np.maximum(held[live] - 1, 0), 0)
+            most = np.minimum(self.end[p] - p, self.end[q] - q)
             run = np.flatnonzero(paired)
             while len(run):
-                a, b = p[run] + h[run], q[run] + h[run]
-                ok = (a < self.end[p[run]]) & (b < self.end[q[run]])
-                ok[ok] = self.data[a[ok]] == self.data[b[ok]]
-                run = run[ok]
-                h[run] += 1
+                a = h[run]
+                apart = eight[np.minimum(p[run] + a, len(eight) - 1)] ^ eight[np.minimum(q[run] + a, len(eight) - 1)]
+                # Equal low bytes: the zero bits below the lowest bit that differs, by eights.
+                same = np.bitwise_count((apart & (~apart + _U(1))) - _U(1)) >> 3
+                h[run] = a = np.minimum(a + same, most[run])
+                run = run[(same == 8) & (a < most[run])]
             out[p] = h
             held[live] = h
         return out
@@ -301,10 +311,13 @@ def repeated_segments(rows: DataFrame) -> DataFrame:
     segments = segment_table(rows)
     numbered_ = segments.withColumn("_seq", F.monotonically_increasing_id())
     contents = numbered_.groupBy("gram", "content", "windows").agg(F.count("*").alias("n"), F.min_by("row", "_seq").alias("first_row"), F.min_by("off", "_seq").alias("first_off"))
-    contents = cut(contents.withColumn("_all", F.sum("n").over(Window.partitionBy("gram"))).where(F.col("_all") > 1).drop("_all"))
-    shards = _fetch(contents, rows).repartition("gram").sortWithinPartitions("gram", "content")
+    group = Window.partitionBy("gram")
+    contents = cut(contents.withColumn("_all", F.sum("n").over(group)).withColumn("_kinds", F.count("*").over(group)).where(F.col("_all") > 1).drop("_all"))
+    # Alone with its minimiser, a content is repeated as a whole (it has n > 1) and can share no window with another.
+    alone = contents.where(F.col("_kinds") == 1).select("gram", "content", F.array(F.struct(F.lit(0).alias("start"), F.col("windows").alias("stop"))).alias("spans"))
+    shards = _fetch(contents.where(F.col("_kinds") > 1), rows).repartition("gram").sortWithinPartitions("gram", "content")
     found = shards.mapInArrow(_sorted_shards, "gram bigint, content bigint, spans array<struct<start:int,stop:int>>")
-    found = cut(found.join(contents.select("gram", "content", "n"), ["gram", "content"]))
+    found = cut(found.unionByName(alone).join(contents.select("gram", "content", "n"), ["gram", "content"]))
     total = rows.count() * 64
     back = join_classes(segments, found, ["gram", "content"], total)
     moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("off")).alias("start"), (s["stop"] + F.col("off")).alias("stop")))
