@@ -8,11 +8,11 @@ The forest has ``TREES`` tries.  In each, a text's signature is a path of ``DEPT
 texts with long common prefixes side by side.  The join begins at the full depth: in every node there, each text meets
 the node's texts of smallest hash (another one in each tree), which is linear in the node's size, and met pairs are verified
 exactly.  Then matched prefixes are shortened to the depth at which a pair of the least similarity shares a node of some
-tree with probability ``RECALL``.  There, every pair of texts in a node that isn't in one class yet is verified,
+tree with probability ``RECALL``.  There, texts of different classes meet their nodes' centres likewise, and then every pair of texts in a node that isn't in one class yet is verified,
 with no cap; pairs inside a class are skipped, as they can't change any class.  ``n_links`` counts the verified links
-of a document's text to other texts.
+of a document's text to other texts, which are enough to make the classes: pairs inside a class aren't written out.
 
-Big groups of near copies are one class after the first step, so the second has few pairs, whatever a group's size.
+Big groups of near copies are one class after the meetings with centres, so few pairs are left, whatever a group's size.
 Nothing is collected: links, classes and signatures stay in tables; components are found by hooking and pointer jumping.
 
 Defined results: null, empty and wordless texts have no shingles, no links and a class each; repeated rows are one text with
@@ -35,6 +35,8 @@ SHINGLE, LEAST = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.999
 #: Trees whose full-depth nodes are used in the first step.
 FIRST_TREES = 8
+#: A block of a group has about so many texts or shingles at most.
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
 _U = np.uint64
 FIELDS = "a bigint, b bigint, n_shingles int, deep array<bigint>, short array<bigint>"
 
@@ -161,23 +163,91 @@ def _nodes(texts: DataFrame, path: str, trees: int) -> DataFrame:
     return texts.where(F.col("n_shingles") > 0).select(F.col("_row").alias("x"), F.explode(F.slice(path, 1, trees)).alias("key"))
 
 
-def first_pairs(texts: DataFrame, trees: int) -> DataFrame:
-    """In each full-depth node, pairs of its texts with the node's text of smallest hash."""
-    nodes = cut(_nodes(texts, "deep", trees))
+def star_pairs(texts: DataFrame, path: str, trees: int, roots: DataFrame | None = None) -> DataFrame:
+    """In each node, pairs of its texts with the node's text of smallest hash, unless they are in one class already."""
+    nodes = cut(_nodes(texts, path, trees))
     order: Column = F.xxhash64("x", "key")
     centres = cut(nodes.groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("n")).where(F.col("n") > 1))
-    return join_classes(nodes, centres, ["key"], nodes.count()).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-
-def more_pairs(texts: DataFrame, roots: DataFrame, links_tried: DataFrame, trees: int) -> DataFrame:
-    """All pairs in a node of adapted depth that aren't in one class yet and weren't verified before."""
+    met = join_classes(nodes, centres, ["key"], nodes.count()).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    if roots is None:
+        return met
+    met = met.join(roots.select(F.col("node").alias("x"), F.col("root").alias("_x")), "x", "left").join(roots.select(F.col("node").alias("y"), F.col("root").alias("_y")), "y", "left")
+    return met.where(F.coalesce("_x", "x") != F.coalesce("_y", "y")).select("x", "y")
+
+
+def cell_links(rows: list[tuple[int, int, int, str]], least: float, across: bool) -> list[tuple[int, int]]:
+    """Links among (x, root, block, text) rows that join roots not joined yet; only between the two blocks if ``across``.
+
+    Common shingles are counted by products of 0/1 matrices, some thousand shared shingles at a time.
+    """
+    sets = [shingle_set(r[3]) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    names, owners = np.concatenate(sets), np.repeat(np.arange(len(rows)), sizes)
+    _, column, count = np.unique(names, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    column, owners = (np.cumsum(count > 1) - 1)[column[shared]], owners[shared]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owners = column[order], owners[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        part = slice(*np.searchsorted(column, [at, at + 4096]))
+        held = np.zeros((len(rows), 4096), np.float32)
+        held[owners[part], column[part] - at] = 1
+        both += held @ held.T
+    linked = both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    roots, blocks = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    linked &= (roots[:, None] != roots[None, :]) & (both > 0)
+    if across:
+        linked &= blocks[:, None] != blocks[None, :]
+    above = {int(r): int(r) for r in roots}
+
+    def top(r: int) -> int:
+        while above[r] != r:
+            above[r] = r = above[above[r]]
+        return r
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        a, b = top(int(roots[i])), top(int(roots[j]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])))
+    return out
+
+
+def cross_links(texts: DataFrame, roots: DataFrame, whole: DataFrame, trees: int, least: float) -> DataFrame:
+    """Links that join classes, from all pairs of texts of different classes that are near each other in the forest.
+
+    Texts of nodes that hold several classes are gathered into groups (nodes that share a text are one group).  A group is cut into
+    blocks, and every pair of blocks is one cell, whose pairs are compared inside one task and never written out.
+    """
     nodes = _nodes(texts, "short", trees)
     nodes = cut(nodes.join(roots.withColumnRenamed("node", "x"), "x", "left").select("x", "key", F.coalesce("root", "x").alias("root")))
-    open_ = cut(nodes.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b")).select("key", "n"))
-    left = cut(join_classes(nodes, open_, ["key"], nodes.count()).select("key", "x", "root"))
-    right = left.select("key", F.col("x").alias("y"), F.col("root").alias("_root"))
-    pairs = left.join(right, "key").where(F.col("root") < F.col("_root")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return pairs.join(links_tried, ["x", "y"], "left_anti")
+    open_ = cut(nodes.groupBy("key").agg(F.min("x").alias("y"), F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b")).select("key", "y", "n"))
+    left = cut(join_classes(nodes, open_, ["key"], nodes.count()).select("x", "root", "y").distinct())
+    groups = components(left.where(F.col("x") != F.col("y")).select("x", "y").distinct()).select(F.col("node").alias("x"), F.col("root").alias("group"))
+    members = cut(left.select("x", "root").distinct().join(groups, "x").join(texts.select(F.col("_row").alias("x"), "n_shingles"), "x"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = cut(members.groupBy("group").agg(blocks.alias("blocks"), F.count("*").alias("n")))
+    placed = join_classes(members, sizes, ["group"], members.count())
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "x", "root", "block")
+    cells = cells.join(whole.select(F.col("_row").alias("x"), "_text"), "x").select("group", "low", "high", "x", "root", "block", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:3] != now:
+                    if held:
+                        out += cell_links(held, least, now[1] != now[2])
+                    now, held = r[:3], []
+                held.append(r[3:])
+        if held:
+            out += cell_links(held, least, now[1] != now[2])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["x", "y"])
+
+    return cells.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "x").mapInArrow(run, "x bigint, y bigint")
 
 
 def join_similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL, keep: list[str] | None = None, text: str = "text", id_col: str = "doc_id", trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -194,12 +264,14 @@ def join_similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     # One row of each text goes on; texts that occur once need no join.
     member = cut(paths.where(F.col("n_shingles") == 0).select("_row", F.col("_row").alias("_first"), F.lit(1).cast("long").alias("n")).unionByName(join_classes(solid.select("_row", "a", "b"), classes, ["a", "b"], n).select("_row", "_first", "n")))
     texts = paths.join(member.where(F.col("_row") == F.col("_first")).select("_row"), "_row", "left_semi")
-    tried = cut(first_pairs(texts, min(FIRST_TREES, trees)))
     whole = rows.select("_row", "_text")
+    tried = cut(star_pairs(texts, "deep", min(FIRST_TREES, trees)))
     links = cut(verify(tried, whole, least))
     roots = components(links)
-    rest = cut(more_pairs(texts, roots, tried, trees))
-    links = cut(links.unionByName(verify(rest, whole, least)))
+    met = cut(star_pairs(texts, "short", trees, roots).join(tried, ["x", "y"], "left_anti"))
+    links = cut(links.unionByName(verify(met, whole, least)))
+    roots = components(links)
+    links = cut(links.unionByName(cross_links(texts, roots, whole, trees, least)).distinct())
     roots = components(links)
     degree = links.select(F.col("x").alias("_first")).unionByName(links.select(F.col("y").alias("_first"))).groupBy("_first").agg(F.count("*").alias("n_links"))
     facts = roots.withColumnRenamed("node", "_first").join(degree, "_first")
