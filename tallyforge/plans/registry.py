@@ -1,11 +1,177 @@
-"""All queries of the ledger library and their SQL."""
+"""All queries of the ledger library, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyforge.functions import identity, text
+from tallyforge.operators import decisions, ladder, ledger
+from tallyforge.plans import bridge
+from tallyforge.streaming import ingest
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+_CLEAN = r"regexp_replace(regexp_replace(raw_description, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+_STEM = r"upper(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_description, '^\s+|\s+$', '', 'g'), '( - Visa Purchase| - Receipt| {3,}).*$', ''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
+_CATEGORY = f"""case
+  when regexp_matches({_CLEAN}, '(?i)merchant 1[0-9] ') and amount < 0 then 'groceries'
+  when regexp_matches({_CLEAN}, '(?i)urgent') and amount > 0 and abs(amount) between 10000 and 40000 then 'salary'
+  when regexp_matches({_CLEAN}, '(?i)merchant [2-3] ') or regexp_matches({_CLEAN}, '(?i)merchant 2[0-4] ') then 'transport'
+  when abs(amount) between 0 and 5000 and not regexp_matches({_CLEAN}, '(?i)high') then 'small'
+  when account_ref in ('acct-3', 'acct-6', 'acct-9') then 'savings'
+  else 'UNCATEGORIZED' end"""
+_FACT = f"with fact as ({bridge.FACT}), stemmed as (select *, {_STEM} as stem from fact)"
+_BAL = f"with bal as ({bridge.BALANCED})"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _over(name: str, source: Query, operator: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    query(name, sql)(lambda spark, sf_dir: operator(source(spark, sf_dir)))
+
+
+_over("month_category_net", bridge.fact, lambda f: ledger.categorised(f).groupBy(F.date_format("date", "yyyy-MM").alias("month"), "category").agg(F.sum("amount").alias("net"), F.count("*").alias("facts")),
+      _FACT + f" select strftime(date, '%Y-%m') as month, {_CATEGORY} as category, cast(sum(amount) as bigint) as net, count(*) as facts from fact group by 1, 2")
+_over("category_rules", bridge.fact, lambda f: ledger.categorised(f).select("n", "category"), _FACT + f" select n, {_CATEGORY} as category from fact")
+_over("workbook_coverage", bridge.fact, lambda f: ledger.stemmed(ledger.categorised(f)).groupBy("category").agg(F.count("*").alias("hits"), F.countDistinct("stem").alias("merchants"), F.sum("amount").alias("total"), F.min("date").alias("first"), F.max("date").alias("last")),
+      _FACT + f" select {_CATEGORY} as category, count(*) as hits, count(distinct stem) as merchants, cast(sum(amount) as bigint) as total, min(date) as first, max(date) as last from stemmed group by 1")
+_over("ledger_page", bridge.fact, lambda f: f.where((F.col("account_ref") == "acct-4") & (F.abs("amount") >= 1000) & F.lower("raw_description").contains("merchant")).orderBy(F.desc("date"), "n").limit(50),
+      _FACT + " select * from fact where account_ref = 'acct-4' and abs(amount) >= 1000 and lower(raw_description) like '%merchant%' order by date desc, n limit 50")
+_over("account_totals", bridge.fact, lambda f: f.groupBy("account_ref").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("facts"), F.sum("amount").alias("net")),
+      _FACT + " select account_ref, min(date) as first, max(date) as last, count(*) as facts, cast(sum(amount) as bigint) as net from fact group by 1")
+_over("account_frontier", bridge.fact, lambda f: f.where(F.col("date") <= F.lit("1998-06-30").cast("date")).groupBy("account_ref").agg(F.max("date").alias("frontier")),
+      _FACT + " select account_ref, max(date) as frontier from fact where date <= date '1998-06-30' group by 1")
+_over("cash_month", bridge.fact, ledger.cash_month,
+      _FACT + " select account_ref, strftime(date, '%Y-%m') as month, cast(sum(case when amount > 0 then amount else 0 end) as bigint) as money_in, cast(sum(case when amount < 0 then amount else 0 end) as bigint) as money_out, cast(sum(amount) as bigint) as net, count(*) as rows from fact group by 1, 2")
+_over("merchant_stem", bridge.fact, lambda f: f.select("n", text.clean(F.col("raw_description")).alias("clean"), text.stem(F.col("raw_description")).alias("stem")), _FACT + f" select n, {_CLEAN} as clean, stem from stemmed")
+_over("merchant_tokens", bridge.fact, lambda f: f.select("n", F.array_join(text.tokens(F.col("raw_description")), " ").alias("words")),
+      _FACT + r""" select n, array_to_string(list_distinct_in_order, ' ') as words from (
+        select n, list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_position(w, w[i]) = i then w[i] end), lambda x: x is not null) as list_distinct_in_order from (
+          select n, list_filter(string_split(regexp_replace(stem, '[^A-Z0-9]+', ' ', 'g'), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$')
+            and x not in ('VISA', 'EFTPOS', 'POS', 'AUTHORISATION', 'AUTHORIZATION', 'DEBIT', 'CREDIT', 'PURCHASE', 'CARD', 'PAYMENT', 'RECEIPT', 'WITHDRAWAL', 'DEPOSIT', 'TRANSACTION')) as w from stemmed))""")
+_MINT = _FACT + """, judged as (
+    select *, receipt is not null and count(distinct concat_ws('|', amount, raw_description)) over (partition by account_ref, date, receipt) = 1 as nk from fact),
+  placed as (select *, case when nk then 0 else cast(row_number() over (partition by account_ref, date, amount, raw_description, nk order by n) - 1 as int) end as occ from judged),
+  minted as (select *, substr(case when nk then sha256(concat_ws('|', 'nk', account_ref, date, receipt)) else sha256(concat_ws('|', 'ch', account_ref, date, amount, raw_description, occ)) end, 1, 16) as external_id from placed)"""
+_over("mint_ids", bridge.fact, lambda f: identity.mint(f).select("n", "occ", "external_id"), _MINT + " select n, occ, external_id from minted")
+_over("dedup_outcomes", bridge.fact, lambda f: ledger.dedup_outcomes(identity.mint(f)).groupBy("outcome").agg(F.count("*").alias("rows"), F.sum("n").alias("sum_n")),
+      _MINT + """, judged2 as (select n, case when row_number() over (partition by external_id, observation, amount order by n) > 1 then 'Duplicate' when row_number() over (partition by external_id order by n) > 1 then 'Flagged' else 'Appended' end as outcome from minted)
+      select outcome, count(*) as rows, cast(sum(n) as bigint) as sum_n from judged2 group by 1""")
+_over("current_facts", bridge.fact, lambda f: ledger.latest(identity.mint(f), ["external_id"], "n").where(F.col("observation") == "posted").select("n", "external_id", "account_ref", "date", "amount"),
+      _MINT + " select n, external_id, account_ref, date, amount from (select *, row_number() over (partition by external_id order by n desc) as r from minted) where r = 1 and observation = 'posted'")
+_over("state_hash", bridge.fact, lambda f: ledger.categorised(identity.mint(f)).select("n", identity.state_hash(F.col("external_id"), F.lit(None).cast("string"), F.when(F.col("amount") < 0, "OUT").otherwise("IN"), F.lit("EXTERNAL"), F.col("account_ref"), F.col("date"), F.col("amount"), F.lit("AUD"), F.col("category"), F.lit("RULE"), F.lit(None).cast("string")).alias("state_hash")),
+      _MINT + f" select n, 'sha256:' || sha256(concat(external_id, '||', case when amount < 0 then 'OUT' else 'IN' end, '|EXTERNAL|', account_ref, '|', date, '|', amount, '|AUD|', {_CATEGORY}, '|RULE|')) as state_hash from minted")
+
+
+def _shaped(f: DataFrame) -> DataFrame:
+    """Legs of a receipt that has an equal and opposite leg in another account within four days."""
+    keys = [F.abs("amount").alias("_a"), "receipt"]
+    left, right = f.where(F.col("receipt").isNotNull()).select("*", *keys[:1]), f.select(F.abs("amount").alias("_a"), "receipt", F.col("account_ref").alias("_acct"), F.col("amount").alias("_amt"), F.col("date").alias("_d"))
+    met = left.join(right, ["_a", "receipt"]).where((F.col("account_ref") != F.col("_acct")) & (F.col("amount") == -F.col("_amt")) & (F.abs(F.datediff("date", "_d")) <= 4))
+    return met.select("n", "account_ref", "receipt", "amount").distinct()
+
+
+def _transfer_candidates(f: DataFrame) -> DataFrame:
+    """Equal and opposite posted legs in two accounts within four days, by tier of their closeness."""
+    legs = f.where(F.col("observation") == "posted").withColumn("_a", F.abs("amount"))
+    out, into = legs.where(F.col("amount") < 0), legs.where(F.col("amount") > 0).select("_a", F.col("n").alias("to_n"), F.col("account_ref").alias("_acct"), F.col("date").alias("_d"), F.col("receipt").alias("_r"))
+    met = out.join(into, "_a").where((F.col("account_ref") != F.col("_acct")) & (F.abs(F.datediff("date", "_d")) <= 4))
+    return met.select(F.col("n").alias("from_n"), "to_n", F.abs(F.datediff("date", "_d")).alias("days"), F.when(F.col("receipt") == F.col("_r"), "T1").when(F.col("date") == F.col("_d"), "T2").otherwise("T3").alias("tier"))
+
+
+_over("receipt_shaped_legs", bridge.fact, _shaped, _FACT + " select distinct a.n, a.account_ref, a.receipt, a.amount from fact a join fact b on a.receipt = b.receipt and a.amount = -b.amount and a.account_ref <> b.account_ref and abs(date_diff('day', a.date, b.date)) <= 4")
+_over("transfer_candidates", bridge.fact, _transfer_candidates, _FACT + """ select a.n as from_n, b.n as to_n, cast(abs(date_diff('day', a.date, b.date)) as int) as days, case when a.receipt = b.receipt then 'T1' when a.date = b.date then 'T2' else 'T3' end as tier
+  from fact a join fact b on a.amount = -b.amount and a.amount < 0 and a.account_ref <> b.account_ref and abs(date_diff('day', a.date, b.date)) <= 4 where a.observation = 'posted' and b.observation = 'posted'""")
+_over("transfer_ladder", bridge.fact, lambda f: ladder.match(identity.mint(f).where(F.col("observation") == "posted")))
+
+
+def _edges(f: DataFrame) -> DataFrame:
+    return f.where(F.col("n") % 50 < 3).select(F.col("n").alias("from_id"), (F.col("n") + 7).alias("to_id")).unionByName(f.where((F.col("n") % 50).between(10, 14)).select(F.col("n").alias("from_id"), (F.col("n") + 1).alias("to_id")))
+
+
+def _decisions(f: DataFrame) -> DataFrame:
+    pins = f.where(F.col("n") % 101 == 0).select((F.col("n") + 1000000).alias("n"), F.lit("PIN").alias("action"), F.col("n").alias("target"))
+    revokes = f.where(F.col("n") % 303 == 0).select((F.col("n") + 2000000).alias("n"), F.lit("REVOKE").alias("action"), (F.col("n") + 1000000).alias("target"))
+    again = f.where(F.col("n") % 909 == 0).select((F.col("n") + 3000000).alias("n"), F.lit("REVOKE").alias("action"), (F.col("n") + 2000000).alias("target"))
+    return pins.unionByName(revokes).unionByName(again)
+
+
+_DECISIONS = _FACT + """, decision as (select n + 1000000 as n, 'PIN' as action, n as target from fact where n % 101 = 0 union all select n + 2000000, 'REVOKE', n + 1000000 from fact where n % 303 = 0 union all select n + 3000000, 'REVOKE', n + 2000000 from fact where n % 909 = 0)"""
+_over("chain_resolve", bridge.fact, lambda f: decisions.chain_resolve(_edges(f)),
+      f"with recursive fact as ({bridge.FACT}), edge as (select n as from_id, n + 7 as to_id from fact where n % 50 < 3 union all select n, n + 1 from fact where n % 50 between 10 and 14), walk as (select from_id, to_id as at, 1 as depth from edge union all select w.from_id, e.to_id, w.depth + 1 from walk w join edge e on e.from_id = w.at where depth < 40) select w.from_id as id, max(case when e.from_id is null then w.at end) as resolved, max(w.depth) as hops from walk w left join edge e on e.from_id = w.at group by 1")
+_over("effective_decisions", bridge.fact, lambda f: decisions.effective(_decisions(f)),
+      _DECISIONS + " select * from decision d where (select count(*) from decision r where r.action = 'REVOKE' and r.target = d.n and not exists (select 1 from decision s where s.action = 'REVOKE' and s.target = r.n)) % 2 = 0")
+_over("pending_settlement", bridge.fact, lambda f: ledger.pending_settlement(f, 60),
+      _FACT + """, p as (select a.n, count(b.n) as candidates, min(b.n) as m from fact a left join fact b on b.observation = 'posted' and a.account_ref = b.account_ref and a.amount = b.amount and date_diff('day', a.date, b.date) between 0 and 60
+        and len(list_intersect(list_filter(string_split(upper(a.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY')), list_filter(string_split(upper(b.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY')))) * 2
+          >= least(len(list_filter(string_split(upper(a.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY'))), len(list_filter(string_split(upper(b.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY'))))
+        where a.observation = 'pending' group by a.n)
+      select n, candidates, case when candidates = 1 then m end as posted_n, case when candidates = 1 then 'SETTLED' when candidates > 1 then 'AMBIGUOUS' else 'OPEN' end as state from p""")
+_over("statement_reconcile", bridge.balanced, ledger.statement_reconcile,
+      _BAL + """, net as (select account_ref, v, sum(s) as s from (select account_ref, balance - amount as v, 1 as s from bal union all select account_ref, balance, -1 from bal) group by 1, 2), t as (select account_ref, cast(sum(greatest(s, 0)) as bigint) as openings, cast(sum(greatest(-s, 0)) as bigint) as closings from net group by 1) select *, openings <= 1 and closings <= 1 as reconciled from t""")
+_over("chain_forks", bridge.balanced, lambda f: ledger.chain_forks(f).withColumn("value", F.col("value").cast("bigint")),
+      _BAL + " select account_ref, side, cast(v as bigint) as value, count(*) as rows, min(n) as first_n, max(n) as last_n from (select account_ref, 'before' as side, balance - amount as v, n from bal union all select account_ref, 'after', balance, n from bal) group by 1, 2, 3 having count(*) > 1")
+_over("opening_balances", bridge.balanced, ledger.openings, _BAL + " select account_ref, cast(arg_min(balance - amount, (date, n)) as bigint) as forward, cast(arg_max(balance, (date, n)) - sum(amount) as bigint) as backward from bal group by 1")
+_over("balance_chain_break", bridge.balanced, ledger.chain_breaks,
+      _BAL + ", l as (select *, lag(balance) over (partition by account_ref order by date, n) + amount as expected from bal) select account_ref, n, date, cast(expected as bigint) as expected, cast(balance as bigint) as balance from l where expected <> balance")
+_over("new_stem", bridge.fact, lambda f: ledger.new_stems(f, "1995-02-01", "1995-12-31"), _FACT + " select stem, n, date, amount from (select *, row_number() over (partition by stem order by date, n) as r from stemmed) where r = 1 and date between date '1995-02-01' and date '1995-12-31'")
+_over("amount_outlier_p99", bridge.fact, ledger.amount_outliers,
+      _FACT + ", lim as (select stem, quantile_disc(abs(amount), 0.99) as p99 from stemmed group by 1 having count(*) >= 8) select n, stem, amount, cast(p99 as bigint) as p99 from stemmed join lim using (stem) where abs(amount) > p99")
+_over("duplicate_looking", bridge.fact, lambda f: ledger.duplicate_looking(f, 30),
+      _FACT + ", g as (select *, cast(date_diff('day', lag(date) over (partition by account_ref, stem, amount order by date, n), date) as int) as gap from stemmed) select n, account_ref, stem, amount, gap from g where gap <= 30")
+_over("account_silent", bridge.fact, lambda f: ledger.silent_accounts(f, "2001-09-15"),
+      _FACT + """, d as (select distinct account_ref, date from fact), g as (select *, date_diff('day', lag(date) over (partition by account_ref order by date), date) as gap, row_number() over (partition by account_ref order by date desc) as r from d),
+      a as (select account_ref, max(date) as last, count(*) as dates, list_sort(list(gap) filter (r <= 10 and gap is not null)) as gs from g group by 1)
+      select account_ref, last, cast(gs[cast(floor(len(gs) / 2) as int) + 1] as int) as median_gap, cast(date_diff('day', last, date '2001-09-15') as int) as days from a where dates >= 4 and date_diff('day', last, date '2001-09-15') > 2 * gs[cast(floor(len(gs) / 2) as int) + 1]""")
+_over("dup_clusters", bridge.fact, lambda f: ledger.dup_clusters(f, 5000),
+      _FACT + """, m as (select *, amount < 0 as negative from stemmed), b as (select *, coalesce(amount - lag(amount) over (partition by account_ref, date, stem, negative order by amount, n) > 5000, true) as apart from m),
+      i as (select *, sum(cast(apart as int)) over (partition by account_ref, date, stem, negative order by amount, n) as island from b) select account_ref, date, stem, negative, count(*) as rows, min(n) as first_n from i group by account_ref, date, stem, negative, island having count(*) > 1""")
+_over("recurring_detect", bridge.series, ledger.recurring,
+      f"with fact as ({bridge.SERIES}), day as (select {_STEM} as stem, date, cast(sum(amount) as bigint) as amount from fact group by 1, 2), s as (select *, date_diff('day', lag(date) over (partition by stem order by date), date) as gap, lag(amount) over (partition by stem order by date) as b from day)," + """
+      g as (select stem, count(*) as occurrences, quantile_cont(gap, 0.5) as median_gap, cast(sum(case when abs(amount - b) >= 50 or abs(amount - b) >= 0.05 * abs(b) then 1 else 0 end) as bigint) as steps, min(date) as first, max(date) as last, cast(sum(amount) as bigint) as cost from s group by 1 having count(*) >= 3),
+      k as (select g.*, x.bucket, row_number() over (partition by stem order by abs(median_gap - x.bucket), x.bucket) as r from g, (values (7), (14), (30), (61), (91), (182), (365)) as x(bucket)),
+      near as (select * from k where r = 1 and abs(median_gap - bucket) <= greatest(2, 0.2 * bucket)),
+      reg as (select s.stem, avg(case when abs(s.gap - near.bucket) <= greatest(2, 0.2 * near.bucket) then 1.0 else 0.0 end) as regularity from s join near using (stem) where s.gap is not null group by 1)
+      select stem, occurrences, median_gap, bucket, regularity, steps, first, last, cost from near join reg using (stem) where regularity >= 0.70""")
+_over("occurrence_calendar", bridge.series, lambda f: ledger.occurrence_calendar(f.groupBy(F.col("raw_description").alias("commitment_id")).agg(F.min("date").alias("anchor"), F.max("amount").alias("amount")).withColumn("months", F.lit(1)), "2023-06-30"),
+      f"with fact as ({bridge.SERIES}), c as (select raw_description as commitment_id, min(date) as anchor, max(amount) as amount from fact group by 1), k as (select *, unnest(range(0, 40)) as k from c) select commitment_id, cast(k as int) as k, cast(anchor + interval 1 month * k as date) as due, amount from k where cast(anchor + interval 1 month * k as date) <= date '2023-06-30' + 92")
+_over("coverage_buckets", bridge.fact, ledger.coverage,
+      _FACT + """, m as (select account_ref, cast(date_trunc('month', date) as date) as month, count(*) as facts from fact group by 1, 2), s as (select account_ref, min(month) as a, max(month) as b from m group by 1),
+      cal as (select s.*, cast(unnest(generate_series((select min(a) from s), (select max(b) from s), interval 1 month)) as date) as month from s)
+      select cal.account_ref, cal.month, coalesce(facts, 0) as facts, case when cal.month < a then 'before' when cal.month > b then 'after' when facts is null then 'hole' else 'facts' end as state from cal left join m on m.account_ref = cal.account_ref and m.month = cal.month""")
+
+
+def _batches(f: DataFrame) -> DataFrame:
+    """Facts of each ingest batch: a batch has the numbers strictly between its start and end, in its account."""
+    batch = F.floor(F.col("n") / 100)
+    bounds = f.groupBy("account_ref", batch.alias("batch")).agg((F.min("n") - 1).alias("n_start"), (F.max("n") + 1).alias("n_end"))
+    met = f.join(bounds, ["account_ref"]).where((F.col("n") > F.col("n_start")) & (F.col("n") < F.col("n_end")) & (batch == F.col("batch")))
+    return met.groupBy("account_ref", "batch").agg(F.count("*").alias("facts"), F.sum("amount").alias("net"))
+
+
+_over("batch_range_join", bridge.fact, _batches,
+      _FACT + ", b as (select account_ref, cast(floor(n / 100) as bigint) as batch, min(n) - 1 as n_start, max(n) + 1 as n_end from fact group by 1, 2) select b.account_ref, b.batch, count(*) as facts, cast(sum(f.amount) as bigint) as net from b join fact f on f.account_ref = b.account_ref and f.n > b.n_start and f.n < b.n_end group by 1, 2")
+_over("export_rows", bridge.balanced, lambda f: ledger.categorised(identity.mint(f)).select("n", "date", F.col("account_ref").alias("account"), F.lit("AUD").alias("currency"), F.col("amount").alias("amount_cents"), F.col("balance").cast("bigint").alias("balance_cents"), "category", "external_id", "raw_description"),
+      _MINT.replace(bridge.FACT, bridge.BALANCED) + f" select n, date, account_ref as account, 'AUD' as currency, amount as amount_cents, cast(balance as bigint) as balance_cents, {_CATEGORY} as category, external_id, raw_description from minted")
+query("stream_ingest", "select event_id as n, event_type as account_ref, cast(round(value * 100) as bigint) as amount from events where event_id is not null")(ingest.replay)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
