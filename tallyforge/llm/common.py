@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-import tallyforge
+from tallyforge.session import find_package
 
 #: Rows in an Arrow batch; texts can be long, so fewer than Spark's default.
 BATCH_ROWS = 1000
@@ -31,9 +30,7 @@ def settle(spark: SparkSession) -> None:
     now = int(spark.conf.get(name, "10000"))
     if not 0 < now <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
-    top, environment = str(Path(tallyforge.__file__).parent.parent), spark.sparkContext.environment
-    if top not in environment.get("PYTHONPATH", "").split(":"):
-        environment["PYTHONPATH"] = ":".join(filter(None, (top, environment.get("PYTHONPATH"))))
+    find_package(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
