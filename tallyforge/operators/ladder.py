@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +15,12 @@ from tallyforge.session import find_package
 WINDOW_DAYS = 4
 
 
-def pair_legs(legs: pd.DataFrame, window: int = WINDOW_DAYS) -> list[tuple[int, int, str]]:
-    """(from, to, tier) of one amount's legs, each in date and number order.
+def pair_legs(rows: list[dict], window: int = WINDOW_DAYS) -> list[tuple[dict, dict, str]]:
+    """(from, to, tier) of one amount's legs, which come in date and number order.
 
     A leg takes the only open counterpart with its receipt (T1); else, if each is the other's only one, the counterpart of its
     day (T2); else likewise the counterpart within the window (T3).
     """
-    rows = legs.sort_values(["date", "n"]).to_dict("records")
     taken: set[int] = set()
     out = []
 
@@ -38,7 +40,7 @@ def pair_legs(legs: pd.DataFrame, window: int = WINDOW_DAYS) -> list[tuple[int,
             found = candidates(i, fits)
             if len(found) == 1 and (not mutual or candidates(found[0], fits) == [i]):
                 taken |= {i, found[0]}
-                out.append((rows[i]["n"], rows[found[0]]["n"], tier))
+                out.append((rows[i], rows[found[0]], tier))
                 break
     return out
 
@@ -51,14 +53,19 @@ def match(facts: DataFrame, window: int = WINDOW_DAYS) -> DataFrame:
     gap = F.datediff("date", F.lag("date").over(by_amount)) > window
     legs = legs.withColumn("_g", F.sum(F.when(gap, 1).otherwise(0)).over(by_amount)).select("n", "account_ref", "date", "amount", "receipt", "external_id", "_a", "_g")
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(date=pd.to_datetime(pdf["date"]), receipt=pdf["receipt"].astype(object).where(pdf["receipt"].notna(), None))
-        ids = dict(zip(pdf["n"], pdf["external_id"], strict=True))
-        receipts = dict(zip(pdf["n"], pdf["receipt"], strict=True))
-        got = pair_legs(pdf, window)
-        return pd.DataFrame([(a, b, ids[a], ids[b], t, receipts[a] if t == "T1" else None) for a, b, t in got], columns=["from_n", "to_n", "from_id", "to_id", "tier", "receipt"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        out = []
+        for _, group in groupby(rows, key=lambda r: (r["_a"], r["_g"])):
+            legs = list(group)
+            for a, b, tier in pair_legs(legs, window) if len(legs) > 1 else ():
+                out.append((a["n"], b["n"], a["external_id"], b["external_id"], tier, a["receipt"] if tier == "T1" else None))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["from_n", "to_n", "from_id", "to_id", "tier", "receipt"])
 
-    pairs = legs.groupBy("_a", "_g").applyInPandas(group, "from_n bigint, to_n bigint, from_id string, to_id string, tier string, receipt string")
+    # Groups stand whole and sorted in their partition, and are read one after the other.
+    dealt = legs.repartition("_a", "_g").sortWithinPartitions("_a", "_g", "date", "n")
+    pairs = dealt.mapInArrow(run, "from_n bigint, to_n bigint, from_id string, to_id string, tier string, receipt string")
     # The first pair of a receipt keeps its id; later ones take the hash of their legs.
     wanted = transfer_id(F.col("from_id"), F.col("to_id"), F.col("receipt"))
     first = F.row_number().over(Window.partitionBy("_w").orderBy("from_n"))
