@@ -22,10 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(spark: SparkSession) -> None:
-    """Keep Arrow batches small (a smaller setting of the session stays), and let local workers find this package.
-
-    On a cluster the package comes with the application (``--py-files`` or PYTHONPATH).
-    """
+    """Keep Arrow batches small (a smaller setting of the session stays), and let local workers find this package."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
     if not 0 < now <= BATCH_ROWS:

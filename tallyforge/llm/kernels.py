@@ -32,7 +32,7 @@ _powers = {"pow": np.ones(1, _U), "inv": np.ones(1, _U)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers (mod 2**64) of the hash base and of its inverse."""
     if len(_powers["pow"]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
+        size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("pow", _BASE), ("inv", _INV)):
             steps = np.full(size, base, _U)
             steps[0] = 1

@@ -18,6 +18,7 @@ rows get equal scores; non-text columns are never read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
-from tallyforge.llm.common import annotate
+from tallyforge.llm.common import annotate, settle
 
 BUCKETS, DIM = 1 << 17, 8
 MAX_DOCS, MAX_BYTES = 4000, 48 << 20
@@ -71,7 +72,7 @@ def train(texts: list[bytes], labels: list[int], steps: int = STEPS, seed: int =
     for text in texts:
         raw = np.frombuffer(text, np.uint8)
         ids, counts = np.unique(features(raw, np.array([0, len(raw)]))[0], return_counts=True)
-        rows.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+        rows.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     order = np.zeros(0, np.int64)
     for step in range(steps if texts and len(set(labels)) > 1 else 0):
         if not len(order):
@@ -114,8 +115,20 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_docs: i
     found = texts.join(F.broadcast(rows), "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_y"), F.col("_raw")]
     found = found.orderBy(*order).limit(max_docs).withColumn("_total", F.sum(F.length("_raw")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    got = found.where(F.col("_total") <= max_bytes).select("_raw", "_y").toArrow()
-    return train([x.as_py() for x in got["_raw"]], got["_y"].to_pylist(), steps)
+    # The bounded sample is one partition; one task learns from it, and only the model comes to the driver.
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, classes = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            classes += batch.column(1).to_pylist()
+        if texts:
+            model = train(texts, classes, steps)
+            yield pa.RecordBatch.from_arrays([pa.array([model["table"].tobytes()], pa.binary()), pa.array([model["bias"]])], names=["weights", "bias"])
+
+    settle(docs.sparkSession)
+    sample = found.where(F.col("_total") <= max_bytes).select("_raw", "_y").coalesce(1)
+    got = sample.mapInArrow(learn, "weights binary, bias double").collect()
+    return {"table": np.frombuffer(got[0]["weights"], np.float32), "bias": got[0]["bias"]} if got else train([], [], 0)
 
 
 def classify(docs: DataFrame, model: dict, keep: list[str] | None = None, name: str = "score", text: str = "text") -> DataFrame:
