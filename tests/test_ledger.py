@@ -40,7 +40,7 @@ def leg(n, account, day, amount, receipt=None):
 
 def test_ladder_is_per_leg_not_per_tier():
     legs = [leg(1, "a", 1, -5), leg(2, "b", 3, 5), leg(3, "a", 3, -5)]
-    assert ladder.pair_legs(legs) == []
+    assert [(a["n"], b["n"], t) for a, b, t in ladder.pair_legs(legs)] == [(2, 3, "T2")]
     assert [(a["n"], b["n"], t) for a, b, t in ladder.pair_legs(legs[:2])] == [(1, 2, "T3")]
     assert [(a["n"], b["n"], t) for a, b, t in ladder.pair_legs([leg(1, "a", 1, -5, "r"), leg(2, "b", 2, 5, "r"), leg(3, "c", 1, 5)])] == [(1, 2, "T1")]
 
