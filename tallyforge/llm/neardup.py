@@ -9,8 +9,9 @@ texts with long common prefixes side by side.  The join begins at the full depth
 the node's texts of smallest hash (another one in each tree), which is linear in the node's size, and met pairs are verified
 exactly.  Then matched prefixes are shortened to the depth at which a pair of the least similarity shares a node of some
 tree with probability ``RECALL``.  There, texts of different classes meet their nodes' centres likewise, and then every pair of texts in a node that isn't in one class yet is verified,
-with no cap; pairs inside a class are skipped, as they can't change any class.  ``n_links`` counts the verified links
-of a document's text to other texts, which are enough to make the classes: pairs inside a class aren't written out.
+with no cap; pairs inside a class are skipped there, as they can't change any class.  ``n_links`` is the number of other
+texts that a document's text is linked to.  All links lie inside classes, so every class is compared in block cells, each of
+which gives a count for each of its texts; no pair is written out.
 
 Big groups of near copies are one class after the meetings with centres, so few pairs are left, whatever a group's size.
 Nothing is collected: links, classes and signatures stay in tables; components are found by hooking and pointer jumping.
@@ -37,6 +38,8 @@ TREES, DEPTH, RECALL = 20, 8, 0.999
 FIRST_TREES = 8
 #: A block of a group has about so many texts or shingles at most.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
+#: The same where links of a class are counted.  A text goes to one cell for each block of its class, so blocks are larger.
+COUNT_TEXTS, COUNT_SHINGLES = 1024, 2_000_000
 _U = np.uint64
 FIELDS = "a bigint, b bigint, n_shingles int, deep array<bigint>, short array<bigint>"
 
@@ -175,28 +178,37 @@ def star_pairs(texts: DataFrame, path: str, trees: int, roots: DataFrame | None
     return met.where(F.coalesce("_x", "x") != F.coalesce("_y", "y")).select("x", "y")
 
 
-def cell_links(rows: list[tuple[int, int, int, str]], least: float, across: bool) -> list[tuple[int, int]]:
-    """Links among (x, root, block, text) rows that join roots not joined yet; only between the two blocks if ``across``.
+def near(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Whether two sets have the similarity ``least``, as a 0/1 matrix (true on the diagonal of sets that share anything).
 
     Common shingles are counted by products of 0/1 matrices, some thousand shared shingles at a time.
     """
-    sets = [shingle_set(r[3]) for r in rows]
     sizes = np.array([len(s) for s in sets])
-    names, owners = np.concatenate(sets), np.repeat(np.arange(len(rows)), sizes)
+    names, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     _, column, count = np.unique(names, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     column, owners = (np.cumsum(count > 1) - 1)[column[shared]], owners[shared]
-    both = np.zeros((len(rows), len(rows)), np.float32)
+    both = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     column, owners = column[order], owners[order]
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, columns, 4096):
         part = slice(*np.searchsorted(column, [at, at + 4096]))
-        held = np.zeros((len(rows), 4096), np.float32)
+        held = np.zeros((len(sets), min(4096, columns - at)), np.float32)
         held[owners[part], column[part] - at] = 1
         both += held @ held.T
-    linked = both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    return (both >= least * (sizes[:, None] + sizes[None, :] - both) - 1e-6) & (both > 0)
+
+
+#: A text of a cell: x, root, block and the text.
+Cell = list[tuple[int, int, int, str]]
+
+
+def cell_links(rows: Cell, least: float, across: bool) -> list[tuple[int, int]]:
+    """Links among the rows that join roots not joined yet; only between the two blocks if ``across``."""
+    linked = near([shingle_set(r[3]) for r in rows], least)
     roots, blocks = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    linked &= (roots[:, None] != roots[None, :]) & (both > 0)
+    linked &= roots[:, None] != roots[None, :]
     if across:
         linked &= blocks[:, None] != blocks[None, :]
     above = {int(r): int(r) for r in roots}
@@ -215,43 +227,73 @@ def cell_links(rows: list[tuple[int, int, int, str]], least: float, across: bool
     return out
 
 
-def cross_links(texts: DataFrame, roots: DataFrame, whole: DataFrame, trees: int, least: float) -> DataFrame:
-    """Links that join classes, from all pairs of texts of different classes that are near each other in the forest.
+def cell_counts(rows: Cell, least: float, across: bool) -> list[tuple[int, int]]:
+    """Each row's number of links in the cell; only those between the two blocks if ``across``."""
+    linked = near([shingle_set(r[3]) for r in rows], least)
+    np.fill_diagonal(linked, False)
+    if across:
+        blocks = np.array([r[2] for r in rows])
+        linked &= blocks[:, None] != blocks[None, :]
+    return [(r[0], n) for r, n in zip(rows, linked.sum(axis=1).tolist(), strict=True) if n]
+
 
-    Texts of nodes that hold several classes are gathered into groups (nodes that share a text are one group).  A group is cut into
-    blocks, and every pair of blocks is one cell, whose pairs are compared inside one task and never written out.
+def over_cells(members: DataFrame, whole: DataFrame, compute, fields: str, least: float, block_texts: int, block_shingles: int) -> DataFrame:
+    """``compute(rows, least, across)`` over the cells of groups, from stored ``members`` (x, root, group, n_shingles).
+
+    A group is cut into blocks, and every pair of blocks is one cell, whose pairs are compared inside one task and never written out.
     """
-    nodes = _nodes(texts, "short", trees)
-    nodes = cut(nodes.join(roots.withColumnRenamed("node", "x"), "x", "left").select("x", "key", F.coalesce("root", "x").alias("root")))
-    open_ = cut(nodes.groupBy("key").agg(F.min("x").alias("y"), F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b")).select("key", "y", "n"))
-    left = cut(join_classes(nodes, open_, ["key"], nodes.count()).select("x", "root", "y").distinct())
-    groups = components(left.where(F.col("x") != F.col("y")).select("x", "y").distinct()).select(F.col("node").alias("x"), F.col("root").alias("group"))
-    members = cut(left.select("x", "root").distinct().join(groups, "x").join(texts.select(F.col("_row").alias("x"), "n_shingles"), "x"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.ceil(F.greatest(F.count("*") / block_texts, F.sum("n_shingles") / block_shingles)).cast("int")
     sizes = cut(members.groupBy("group").agg(blocks.alias("blocks"), F.count("*").alias("n")))
-    placed = join_classes(members, sizes, ["group"], members.count())
+    placed = join_classes(members, sizes, ["group"], members.count()).join(whole.select(F.col("_row").alias("x"), "_text"), "x")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "x", "root", "block")
-    cells = cells.join(whole.select(F.col("_row").alias("x"), "_text"), "x").select("group", "low", "high", "x", "root", "block", "_text")
+    cells = placed.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "x", "root", "block", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
+        def made() -> pa.RecordBatch:
+            out = compute(held, least, now[1] != now[2])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=names)
+
+        now, held = None, []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[:3] != now:
                     if held:
-                        out += cell_links(held, least, now[1] != now[2])
+                        yield made()
                     now, held = r[:3], []
                 held.append(r[3:])
         if held:
-            out += cell_links(held, least, now[1] != now[2])
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["x", "y"])
+            yield made()
 
-    return cells.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "x").mapInArrow(run, "x bigint, y bigint")
+    names = [f.split()[0] for f in fields.split(", ")]
+    return cells.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "x").mapInArrow(run, fields)
 
 
-def join_similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL, keep: list[str] | None = None, text: str = "text", id_col: str = "doc_id", trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """``docs`` (a stored table) with class_id, class_row, n_links, n_copies and whether the row is its class's first."""
+def cross_links(texts: DataFrame, roots: DataFrame, whole: DataFrame, trees: int, least: float) -> DataFrame:
+    """Links that join classes, from all pairs of texts of different classes that are near each other in the forest.
+
+    Texts of nodes that hold several classes are gathered into groups (nodes that share a text are one group), compared in cells.
+    """
+    nodes = _nodes(texts, "short", trees)
+    nodes = cut(nodes.join(roots.withColumnRenamed("node", "x"), "x", "left").select("x", "key", F.coalesce("root", "x").alias("root")))
+    open_ = cut(nodes.groupBy("key").agg(F.min("x").alias("y"), F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b")).select("key", "y", "n"))
+    left = cut(join_classes(nodes, open_, ["key"], nodes.count()).select("x", "root", "y").distinct())
+    groups = components(left.where(F.col("x") != F.col("y")).select("x", "y").distinct()).select(F.col("node").alias("x"), F.col("root").alias("group"))
+    members = cut(left.select("x", "root").distinct().join(groups, "x").join(texts.select(F.col("_row").alias("x"), "n_shingles"), "x"))
+    return over_cells(members, whole, cell_links, "x bigint, y bigint", least, BLOCK_TEXTS, BLOCK_SHINGLES)
+
+
+def link_counts(texts: DataFrame, roots: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """_first and n_links: how many other texts each text of a class is linked to, from all pairs inside the class."""
+    members = cut(roots.join(texts.select(F.col("_row").alias("node"), "n_shingles"), "node").select(F.col("node").alias("x"), "root", F.col("root").alias("group"), "n_shingles"))
+    counts = over_cells(members, whole, cell_counts, "x bigint, n bigint", least, COUNT_TEXTS, COUNT_SHINGLES)
+    return counts.groupBy(F.col("x").alias("_first")).agg(F.sum("n").alias("n_links"))
+
+
+def join_similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL, keep: list[str] | None = None, text: str = "text", id_col: str = "doc_id", trees: int = TREES, depth: int = DEPTH, counted: bool = True) -> DataFrame:
+    """``docs`` (a stored table) with class_id, class_row, n_links, n_copies and whether the row is its class's first.
+
+    Unless ``counted``, the links aren't counted and n_links is null.
+    """
     settle(docs.sparkSession)
     added = ("class_id", "class_row", "n_links", "n_copies", "is_first")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
@@ -273,10 +315,12 @@ def join_similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     roots = components(links)
     links = cut(links.unionByName(cross_links(texts, roots, whole, trees, least)).distinct())
     roots = components(links)
-    degree = links.select(F.col("x").alias("_first")).unionByName(links.select(F.col("y").alias("_first"))).groupBy("_first").agg(F.count("*").alias("n_links"))
-    facts = roots.withColumnRenamed("node", "_first").join(degree, "_first")
+    facts = roots.withColumnRenamed("node", "_first")
+    if counted:
+        facts = facts.join(link_counts(texts, roots, whole, least), "_first")
+    none = F.lit(0 if counted else None).cast("long")
     heads = rows.select(F.col("_row").alias("class_row"), F.col(id_col).alias("class_id"))
-    found = member.join(facts, "_first", "left").select("_row", F.coalesce("root", "_first").alias("class_row"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").alias("n_copies"))
+    found = member.join(facts, "_first", "left").select("_row", F.coalesce("root", "_first").alias("class_row"), (F.coalesce("n_links", none) if counted else none).alias("n_links"), F.col("n").alias("n_copies"))
     # A class has one head, and heads carry an id only, so this join moves no texts.
     found = found.join(heads, "class_row")
     out = rows.drop("_text").join(found, "_row")
@@ -286,6 +330,4 @@ def join_similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """The first document of each class, as it was.  Only ids move until the last join."""
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_t"), F.lit(0).alias("_id"))
-    return join_similar(named, text="_t", id_col="_id", keep=["_doc"], **options).where("is_first").select("_doc.*")
-
-
+    return join_similar(named, text="_t", id_col="_id", keep=["_doc"], counted=False, **options).where("is_first").select("_doc.*")

@@ -140,6 +140,23 @@ def test_near_copies(docs, empty):
     assert neardup.drop_similar(docs).columns == docs.columns
 
 
+def test_links_of_dense_classes_are_counted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "COUNT_TEXTS", 7)
+    base, r, rows = prose(500, 80).split(), random.Random(1), []
+    for i in range(40):
+        words = list(base)
+        for _ in range(r.randint(0, 2)):
+            words[r.randrange(80)] = f"w{i}"
+        rows.append((i, " ".join(words), None, None, None))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = neardup.join_similar(spark.read.parquet(str(tmp_path / "d")), keep=["doc_id", "text"]).collect()
+    sets = {r["text"]: set(neardup.shingle_set(r["text"]).tolist()) for r in got}
+    linked = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    want = {t: sum(linked(s, o) for u, o in sets.items() if u != t) for t, s in sets.items()}
+    assert {r["text"]: r["n_links"] for r in got} == want
+    assert max(want.values()) > 10 and len(set(want.values())) > 3
+
+
 def test_group_of_near_copies_by_cells():
     rows = []
     for i in range(40):
