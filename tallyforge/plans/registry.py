@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import identity, text
-from tallyforge.operators import decisions, ladder, ledger
+from tallyforge.operators import decisions, ladder, ledger, wallets
 from tallyforge.plans import bridge
 from tallyforge.streaming import ingest
 
@@ -166,6 +166,39 @@ _over("batch_range_join", bridge.fact, _batches,
       _FACT + ", b as (select account_ref, cast(floor(n / 100) as bigint) as batch, min(n) - 1 as n_start, max(n) + 1 as n_end from fact group by 1, 2) select b.account_ref, b.batch, count(*) as facts, cast(sum(f.amount) as bigint) as net from b join fact f on f.account_ref = b.account_ref and f.n > b.n_start and f.n < b.n_end group by 1, 2")
 _over("export_rows", bridge.balanced, lambda f: ledger.categorised(identity.mint(f)).select("n", "date", F.col("account_ref").alias("account"), F.lit("AUD").alias("currency"), F.col("amount").alias("amount_cents"), F.col("balance").cast("bigint").alias("balance_cents"), "category", "external_id", "raw_description"),
       _MINT.replace(bridge.FACT, bridge.BALANCED) + f" select n, date, account_ref as account, 'AUD' as currency, amount as amount_cents, cast(balance as bigint) as balance_cents, {_CATEGORY} as category, external_id, raw_description from minted")
+def _counted(f: DataFrame) -> DataFrame:
+    return f.withColumn("snap", F.when(F.col("n") % 37 == 0, F.col("n") % 1000 * 100))
+
+
+_SEG = _FACT + """, c as (select *, case when n % 37 = 0 then n % 1000 * 100 end as snap from fact),
+  seg as (select *, count(snap) over (partition by account_ref order by date, n) as g, case when snap is null then amount else 0 end as moved from c)"""
+_over("wallet_balance", bridge.fact, lambda f: wallets.wallet_balance(_counted(f)),
+      _SEG + """, r as (select *, sum(moved) over (partition by account_ref, g order by date, n) as up, sum(moved) over (partition by account_ref, g) as total, max(snap) over (partition by account_ref, g) as own from seg),
+      one as (select account_ref, arg_min(snap, (date, n)) as s from seg where snap is not null group by 1)
+      select r.account_ref, n, date, cast(case when g > 0 then own + up else coalesce(s - (total - up), up) end as bigint) as balance from r left join one on one.account_ref = r.account_ref""")
+_over("declared_reconcile", bridge.fact, lambda f: wallets.declared_reconcile(_counted(f)),
+      _SEG + """, k as (select account_ref, g, max(snap) as s, sum(moved) as m from seg where g > 0 group by 1, 2), d as (select *, lead(s) over (partition by account_ref order by g) - s - m as gap from k)
+      select account_ref, count(*) as counts, cast(coalesce(sum(gap), 0) as bigint) as gap from d group by 1""")
+_AFTER = "\n".join(x for i, x in enumerate(_CATEGORY.split("\n")) if i != 1)
+_over("reflow_diff", bridge.fact, lambda f: wallets.reflow_diff(f, ledger.RULES, ledger.RULES[1:]),
+      _FACT + f", b as (select amount, {_CATEGORY} as before, {_AFTER} as after from fact) select before, after, count(*) as facts, cast(sum(amount) as bigint) as net from b where before <> after group by 1, 2")
+_over("price_steps", bridge.series, wallets.price_steps,
+      f"with fact as ({bridge.SERIES}), day as (select {_STEM} as stem, date, cast(sum(amount) as bigint) as amount from fact group by 1, 2), s as (select *, lag(amount) over (partition by stem order by date) as before from day) select stem, date, before, amount from s where abs(amount - before) >= 50 or abs(amount - before) >= 0.05 * abs(before)")
+_over("recurring_missing", bridge.fact, lambda f: wallets.recurring_missing(f, "1996-05", "1996-06"),
+      _FACT + """, m as (select distinct stem, strftime(date, '%Y-%m') as m from stemmed where date < date '1996-07-01')
+      select stem, count(*) filter (m < '1996-06') as months from m group by 1 having count(*) filter (m < '1996-06') >= 3 and bool_or(m = '1996-05') and not bool_or(m = '1996-06')""")
+
+
+def _plan(f: DataFrame) -> DataFrame:
+    units = f.select(F.col("n").alias("unit_id"), F.col("amount").alias("hash"))
+    there = f.where(F.col("n") % 7 != 0).select(F.col("n").alias("unit_id"), (F.col("amount") + F.when(F.col("n") % 11 == 0, 1).otherwise(0)).alias("hash"))
+    gone = f.where(F.col("n") % 13 == 0).select((F.col("n") + 100000000).alias("unit_id"), F.col("amount").alias("hash"))
+    return wallets.projection_plan(units, there.unionByName(gone))
+
+
+_over("projection_plan", bridge.fact, _plan,
+      _FACT + """, e as (select n as unit_id, amount + case when n % 11 = 0 then 1 else 0 end as h from fact where n % 7 <> 0 union all select n + 100000000, amount from fact where n % 13 = 0)
+      select coalesce(fact.n, e.unit_id) as unit_id, case when e.unit_id is null then 'create' when fact.n is null then 'orphan' when amount = h then 'unchanged' else 'update' end as plan from fact full join e on e.unit_id = fact.n""")
 query("stream_ingest", "select event_id as n, event_type as account_ref, cast(round(value * 100) as bigint) as amount from events where event_id is not null")(ingest.replay)
 
 

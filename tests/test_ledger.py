@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import identity, text
 from tallyforge.operators import decisions, ladder
 from tallyforge.plans import registry
+from tallyforge.sources import statements
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,6 +51,18 @@ def test_revokes_cancel(spark):
     assert {r["n"] for r in decisions.effective(spark.createDataFrame(rows, "n bigint, action string, target bigint")).collect()} == {2, 3, 5}
 
 
+def test_statement_files(spark, tmp_path):
+    head = "Date,Description,Credit,Debit,Balance\n"
+    (tmp_path / "a.csv").write_text(head + '01/02/2026,"Coffee, ""the"" cart - Receipt 770001",,-4.50,"1,095.50"\n02/02/2026,Pay,100.00,,1195.50\n')
+    (tmp_path / "b.csv").write_text(head + "31/02/2026,No such day,1.00,,1.00\n01/02/2026,Fine,1.00,,2.00\n")
+    rows = statements.ing_csv(spark, str(tmp_path / "*.csv"))
+    got = [(str(r["date"]), r["amount"], r["balance"], r["raw_description"], r["receipt"]) for r in statements.accepted(rows).orderBy("line").collect()]
+    assert got == [("2026-02-01", -450, 109550, 'Coffee, "the" cart - Receipt 770001', "770001"), ("2026-02-02", 10000, 119550, "Pay", None)]
+    assert [(r["file"].endswith("b.csv"), r["bad_rows"]) for r in statements.rejected(rows).collect()] == [(True, 1)]
+    (tmp_path / "c.txt").write_text('03/02/2026,"-7.25","SHOP","+12.00"\n')
+    assert [(r["amount"], r["receipt"], r["raw_description"]) for r in statements.cba_csv(spark, str(tmp_path / "c.txt")).collect()] == [(-725, None, "SHOP")]
+
+
 def test_queries_match_their_sql(spark):
     con = duckdb.connect()
     for t in TABLES:
