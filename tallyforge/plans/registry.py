@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import identity, text
-from tallyforge.operators import decisions, ladder, ledger, wallets
+from tallyforge.operators import decisions, guard, ladder, ledger, reads, wallets
 from tallyforge.plans import bridge
 from tallyforge.streaming import ingest
 
@@ -199,6 +199,67 @@ def _plan(f: DataFrame) -> DataFrame:
 _over("projection_plan", bridge.fact, _plan,
       _FACT + """, e as (select n as unit_id, amount + case when n % 11 = 0 then 1 else 0 end as h from fact where n % 7 <> 0 union all select n + 100000000, amount from fact where n % 13 = 0)
       select coalesce(fact.n, e.unit_id) as unit_id, case when e.unit_id is null then 'create' when fact.n is null then 'orphan' when amount = h then 'unchanged' else 'update' end as plan from fact full join e on e.unit_id = fact.n""")
+
+def _files(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A file for each account and month of 1995, some chosen for another account and some with strange balances, and the facts of a half year."""
+    month, rows = F.month("date"), f.where(F.col("date").between("1995-01-01", "1995-12-31")).withColumn("balance", F.col("balance").cast("bigint"))
+    named = rows.withColumn("file_id", F.concat_ws("/", "account_ref", month)).withColumn("chosen", F.when(month % 4 == 1, "acct-99").when(month % 4 == 2, "acct-0").otherwise(F.col("account_ref")))
+    files = named.select("file_id", "date", "amount", (F.col("balance") + F.when(month % 3 == 0, 5).otherwise(0)).alias("balance"))
+    return files, rows.where((F.col("date") < "1995-07-01") & (F.col("n") % 3 != 0)), named.select("file_id", "chosen").distinct()
+
+
+_over("account_guard", bridge.balanced, lambda f: guard.verdicts(*_files(f)),
+      _BAL + """, r as (select account_ref, date, n, amount, cast(balance as bigint) as balance, month(date) as m from bal where date between date '1995-01-01' and date '1995-12-31'),
+  f as (select account_ref || '/' || m as file_id, case m % 4 when 1 then 'acct-99' when 2 then 'acct-0' else account_ref end as chosen, date, amount, balance + case when m % 3 = 0 then 5 else 0 end as balance from r),
+  c as (select distinct account_ref, date, amount, balance from r where date < date '1995-07-01' and n % 3 <> 0),
+  met as (select f.file_id, c.account_ref, f.date, f.balance from f join c using (date, amount, balance)),
+  op as (select file_id, min(p) as o from (select distinct file_id, balance - amount as p from f) x where not exists (select 1 from f y where y.file_id = x.file_id and y.balance = x.p) group by 1 having count(*) = 1),
+  st as (select file_id, min(date) as s from f group by 1),
+  pair as (select st.file_id, a.account_ref, (select max(c.date) from c where c.account_ref = a.account_ref and c.date <= st.s) as d from st, (select distinct account_ref from c) a),
+  ev as (select p.file_id, p.account_ref,
+      exists (select 1 from met where met.file_id = p.file_id and met.account_ref = p.account_ref and met.balance <> 0)
+        or exists (select 1 from op join c on c.balance = op.o where op.file_id = p.file_id and op.o <> 0 and c.account_ref = p.account_ref and c.date = p.d) as fits,
+      exists (select 1 from f join c on c.date = f.date where f.file_id = p.file_id and c.account_ref = p.account_ref
+        and not exists (select 1 from met where met.file_id = p.file_id and met.account_ref = p.account_ref and met.date = f.date)) as odd from pair p),
+  ch as (select distinct file_id, chosen from f),
+  v as (select ch.file_id, ch.chosen, bool_or(ev.account_ref = ch.chosen and fits) as own, bool_or(ev.account_ref = ch.chosen) as known, bool_or(ev.account_ref = ch.chosen and odd) as odd,
+      count(*) filter (ev.account_ref <> ch.chosen and fits) as k, coalesce(string_agg(ev.account_ref, ',' order by ev.account_ref) filter (ev.account_ref <> ch.chosen and fits), '') as others from ch join ev using (file_id) group by 1, 2),
+  w as (select *, case when own then 'FITS' when k = 1 then 'ELSEWHERE' when not known then 'NEW' when odd then 'CONTRADICTS' else 'UNPROVEN' end as verdict from v)
+  select file_id, chosen, verdict, case when verdict in ('ELSEWHERE', 'UNPROVEN') then others else '' end as others from w""")
+_PAGE = ["n", "date", "account_ref", "amount", "category"]
+_over("ledger_page", bridge.fact, lambda f: reads.ledger_page(ledger.categorised(f), sort="amount", limit=200, offset=50, direction="out", start="1995-01-01", text="merchant 1", least=5000).select(*_PAGE),
+      _FACT + f", k as (select *, {_CATEGORY} as category from fact) select n, date, account_ref, amount, category from k where amount < 0 and date >= date '1995-01-01' and lower(raw_description) like '%merchant 1%' and abs(amount) >= 5000 order by amount desc, n limit 200 offset 50")
+_over("ledger_total", bridge.fact, lambda f: reads.ledger_filter(ledger.categorised(f), category="transport", end="1996-12-31", most=30000).groupBy("account_ref").agg(F.count("*").alias("rows"), F.sum("amount").alias("net")),
+      _FACT + f", k as (select *, {_CATEGORY} as category from fact) select account_ref, count(*) as rows, cast(sum(amount) as bigint) as net from k where category = 'transport' and date <= date '1996-12-31' and abs(amount) <= 30000 group by 1")
+_over("derived_fingerprint", bridge.fact, lambda f: reads.fingerprint(f, ["n", "date", "amount", "raw_description", "receipt"], "account_ref"),
+      _FACT + """, h as (select account_ref, sha256(concat_ws('|', n, date, amount, raw_description, coalesce(receipt, '~'))) as h from fact)
+  select account_ref, count(*) as rows, cast(sum(cast(cast('0x' || substr(h, 1, 15) as bigint) as hugeint)) as varchar) as fingerprint from h group by 1""")
+
+
+def _spiked(f: DataFrame) -> DataFrame:
+    days = ledger.stemmed(f).groupBy("stem", "date").agg(F.sum("amount").alias("amount"))
+    return days.withColumn("amount", F.col("amount") * F.when(F.dayofyear("date") % 11 == 0, 3).otherwise(1))
+
+
+_over("one_off_amounts", bridge.series, lambda f: reads.one_offs(_spiked(f)),
+      f"with fact as ({bridge.SERIES}), day as (select {_STEM} as stem, date, cast(sum(amount) * case when dayofyear(date) % 11 = 0 then 3 else 1 end as bigint) as amount from fact group by 1, 2)," + """
+  s as (select *, abs(lag(amount) over (partition by stem order by date)) as b, abs(lead(amount) over (partition by stem order by date)) as a from day)
+  select stem, date, amount from s where b <> 0 and (abs(amount) >= 2.0 * b or abs(amount) * 2.0 <= b) and abs(a - b) <= cast(0.1 as double) * b""")
+_LOAN = "select c_custkey as loan_id, cast(100000 + c_custkey % 700 * 1000 as double) as loan, cast(c_custkey % 9 * 5000 as double) as offset, cast(2.0 + c_custkey % 13 * 0.5 as double) as rate, cast(c_custkey % 37 * 150 as double) as payment, cast(c_custkey % 4 * 100 as double) as extra from customer"
+
+
+@query("loan_amortise", f"""with recursive loan as ({_LOAN}), w as (
+    select loan_id, loan as bal, cast(0.0 as double) as paid, 0 as months, false as stalled from loan
+    union all select w.loan_id, case when payment + extra > (bal - "offset") * (rate / 100 / 12) then bal - (payment + extra - (bal - "offset") * (rate / 100 / 12)) else bal end,
+      case when payment + extra > (bal - "offset") * (rate / 100 / 12) then paid + (bal - "offset") * (rate / 100 / 12) else paid end, months + 1, payment + extra <= (bal - "offset") * (rate / 100 / 12)
+    from w join loan using (loan_id) where not stalled and bal > "offset" + 0.01 and payment + extra > 0 and months < 720),
+  e as (select loan_id, max(months) as months, arg_max(paid, months) as paid, arg_max(stalled, months) as stalled from w group by 1)
+  select loan_id, case when not stalled then months end as months, cast(round(paid) as bigint) as interest, stalled from e""".replace("as offset", 'as "offset"'))
+def _amortised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    return reads.amortise(spark.sql(_LOAN)).select("loan_id", "months", F.round("interest").cast("bigint").alias("interest"), "stalled")
+
+
 query("stream_ingest", "select event_id as n, event_type as account_ref, cast(round(value * 100) as bigint) as amount from events where event_id is not null")(ingest.replay)
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import identity, text
-from tallyforge.operators import decisions, ladder
+from tallyforge.operators import decisions, guard, ladder, reads
 from tallyforge.plans import registry
 from tallyforge.sources import statements
 
@@ -63,6 +63,41 @@ def test_statement_files(spark, tmp_path):
     assert [(r["amount"], r["receipt"], r["raw_description"]) for r in statements.cba_csv(spark, str(tmp_path / "c.txt")).collect()] == [(-725, None, "SHOP")]
 
 
+def test_guard_verdicts(spark):
+    day = lambda d: dt.date(2026, 3, d)
+    facts = spark.createDataFrame([("a", day(1), 100, 100), ("a", day(2), 50, 150), ("b", day(1), 7, 7), ("z", day(1), 5, 0)], "account_ref string, date date, amount bigint, balance bigint")
+    rows = [("over", day(2), 50, 150), ("opens", day(5), 10, 160), ("odd", day(2), 1, 900), ("odd", day(2), 2, 950), ("zero", day(1), 5, 0), ("blank", day(9), None, None)]
+    files = spark.createDataFrame(rows, "file_id string, date date, amount bigint, balance bigint")
+    chosen = spark.createDataFrame([("over", "a"), ("opens", "b"), ("odd", "a"), ("zero", "z"), ("blank", "new")], "file_id string, chosen string")
+    got = {r["file_id"]: (r["verdict"], r["others"]) for r in guard.verdicts(files, facts, chosen).collect()}
+    assert got == {"over": ("FITS", ""), "opens": ("ELSEWHERE", "a"), "odd": ("CONTRADICTS", ""), "zero": ("UNPROVEN", ""), "blank": ("NEW", "")}
+    assert guard.verdicts(files.limit(0), facts, chosen.limit(0)).count() == 0
+
+
+def test_loans(spark):
+    names = "loan double, offset double, rate double, payment double, extra double"
+    loans = [(1000.0, 0.0, 12.0, 10.0, 0.0), (1000.0, 1000.0, 12.0, 10.0, 0.0), (1200.0, 0.0, 0.0, 100.0, 0.0), (1000.0, 0.0, 12.0, 500.0, 10.0), (1000.0, 0.0, 12.0, 0.0, 0.0)]
+    got = [(r["months"], round(r["interest"], 2), r["stalled"]) for r in reads.amortise(spark.createDataFrame(loans, names)).collect()]
+    assert got == [(None, 0.0, True), (0, 0.0, False), (12, 0.0, False), (2, 15.0, False), (0, 0.0, False)]
+
+
+def test_pages_and_one_offs(spark):
+    rows = spark.range(5).select(F.col("id").alias("n"), F.lit("a").alias("account_ref"), (F.col("id") % 2).alias("amount"))
+    assert [r["n"] for r in reads.ledger_page(rows, sort="amount", limit=0, offset=1).collect()] == [3]
+    assert [r["n"] for r in reads.ledger_page(rows, sort="amount", ascending=True, limit=5000, offset=-1).collect()] == [0, 2, 4, 1, 3]
+    with pytest.raises(ValueError):
+        reads.ledger_page(rows, sort="n; drop")
+    days = spark.createDataFrame([("s", dt.date(2026, 1, i + 1), a) for i, a in enumerate([-10, -30, -10, -4, -10, 0, -10])], "stem string, date date, amount bigint")
+    assert sorted(r["date"].day for r in reads.one_offs(days).collect()) == [2, 4, 6]
+
+
+def test_fingerprint_ignores_order(spark):
+    rows = spark.range(20).select(F.lit("a").alias("k"), "id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("x"))
+    one_way, other = reads.fingerprint(rows, ["id", "x"], "k"), reads.fingerprint(rows.orderBy(F.desc("id")).repartition(3), ["id", "x"], "k")
+    changed = reads.fingerprint(rows.withColumn("x", F.coalesce("x", F.lit(1))), ["id", "x"], "k")
+    assert one_way.collect() == other.collect() != changed.collect()
+
+
 def test_queries_match_their_sql(spark):
     con = duckdb.connect()
     for t in TABLES:
