@@ -23,7 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs are deleted.  A document that nothing is left of goes; a null or blank one stays as it was."""
-    got = lines.dedup_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("text")))
+    got = lines.dedup_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("text")), whole=True)
     left = got.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("_doc.n_chars")).otherwise(F.length("text").cast("long"))}
     return left.select(*[changed[c].alias(c) if c in changed else F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -10,6 +10,11 @@ Every repeated run of at least ``min_lines`` (a power of two) lines is a union o
 that many, so doubling ends there; neighbouring places that stay joined make the maximal runs.  A run counts if
 its ``min_lines`` lines have at least ``min_chars`` characters together; a single line of at least ``line_chars`` characters is a run of
 its own.  A run that also begins earlier (in table order, same document included) is a later copy; later copies' lines are deleted.
+This is the rule of OP9_SQL: a longer run counts only where two neighbouring lines have the characters.
+
+``whole`` judges whole runs instead: a later copy of at least ``min_lines`` lines (any number) is deleted if all its lines have at
+least ``min_chars`` characters together.  Such a run is the union of the shortest runs with both, one begun at each place and
+one ended at each place; these depend on the text alone, so they are named by a 128-bit hash in one round, whatever the length.
 
 Names are found by aggregation (combined map-side) and joined back with hot names apart, so a line that is in a third
 of all documents makes no large task.
@@ -22,11 +27,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.llm import kernels as K
 from tallyforge.llm.common import cut, join_classes, numbered, settle
 
 MIN_LINES, MIN_CHARS, LINE_CHARS = 2, 100, 200
@@ -62,10 +69,49 @@ def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFra
     return single, now
 
 
-def later_copies(docs: DataFrame, text: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, line_chars: int = LINE_CHARS) -> DataFrame:
+def shortest_runs(pos: np.ndarray, row: np.ndarray, chars: np.ndarray, min_lines: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the shortest runs of ``min_lines`` lines and ``min_chars`` characters from and to each place."""
+    n = len(pos)
+    place = np.arange(n)
+    breaks = np.flatnonzero((np.diff(pos) != 1) | (np.diff(row) != 0)) + 1
+    bounds = np.concatenate([[0], breaks, [n]])
+    part = np.searchsorted(bounds, place, "right")
+    total = np.concatenate([[0], np.cumsum(chars)])
+    ends = np.maximum(np.searchsorted(total, total[:-1] + min_chars, "left"), place + min_lines)
+    starts = np.minimum(np.searchsorted(total, total[1:] - min_chars, "right") - 1, place + 1 - min_lines)
+    from_, to = ends <= bounds[part], starts >= bounds[part - 1]
+    both = np.unique(np.concatenate([place[from_] * (n + 1) + ends[from_], starts[to] * (n + 1) + place[to] + 1]))
+    return both // (n + 1), both % (n + 1)
+
+
+def whole_runs(single: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
+    """The places of repeated shortest runs: row, line, last, pos, name."""
+    if min_lines < 1:
+        raise ValueError("min_lines has to be at least 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            pos, line, name, chars = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten())
+            row = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            starts, ends = shortest_runs(pos, row, chars, min_lines, min_chars)
+            up, down = K.powers(len(pos) + 1)
+            keys = []
+            for salt in (1, _SALT):
+                total = np.zeros(len(pos) + 1, np.uint64)
+                np.cumsum(K.mix(K.mix(name.view(np.uint64)) + np.uint64(salt)) * up[: len(pos)], out=total[1:])
+                keys.append(K.mix((total[ends] - total[starts]) * down[starts]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[starts], line[starts], line[ends - 1], pos[starts], *keys)], names=["row", "line", "last", "pos", "a", "b"])
+
+    stretches = single.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "name", "chars"))).alias("lines"))
+    return named(stretches.mapInArrow(run, "row bigint, line bigint, last bigint, pos bigint, a bigint, b bigint"), ["a", "b"])
+
+
+def later_copies(docs: DataFrame, text: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, line_chars: int = LINE_CHARS, whole: bool = False) -> DataFrame:
     """For each numbered document with later copies: the runs of lines to delete, as (line, last)."""
-    single, runs = repeated_runs(line_table(docs, text), min_lines)
-    later = runs.where((F.col("name") != F.col("pos")) & (F.col("chars") >= min_chars)).select("row", "line", "last")
+    single, runs = repeated_runs(line_table(docs, text), 1 if whole else min_lines)
+    runs = whole_runs(single, min_lines, min_chars) if whole else runs.where(F.col("chars") >= min_chars)
+    later = runs.where(F.col("name") != F.col("pos")).select("row", "line", "last")
     later = later.unionByName(single.where((F.col("name") != F.col("pos")) & (F.col("chars") >= line_chars)).select("row", "line", "last"))
     return later.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("line", "last")).alias("_later"))
 

@@ -78,6 +78,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup that judges whole runs; OP9_SQL judges each two lines alone, so this has no SQL."""
+    docs = table(spark, sf_dir, "documents")
+    found = lines.dedup_lines(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), whole=True)
+    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
@@ -86,7 +93,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    made = (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_token_counts, op4_quality_classifier, op5_maxscore_top_k, op6_mix_sources, op7_personal_data, op8_license_scan, op9_line_dedup, op10_decontaminate)
+    made = (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_token_counts, op4_quality_classifier, op5_maxscore_top_k, op6_mix_sources, op7_personal_data, op8_license_scan, op9_line_dedup, op10_decontaminate, op9_line_runs)
     return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 

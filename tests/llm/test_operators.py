@@ -125,6 +125,29 @@ def test_lines(spark, empty, tmp_path):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_whole_line_runs(spark, tmp_path):
+    r = random.Random(11)
+    pool = [prose(900 + i, r.choice([1, 1, 2, 4, 9, 14])) for i in range(12)]
+    passage = [prose(700 + i, 8)[:40] for i in range(20)]
+    rows = [[r.choice(pool) for _ in range(r.randint(1, 14))] for _ in range(40)] + [["u 1", *passage, "u 2"], ["u 3", "", *passage, "u 4"]]
+    spark.createDataFrame([(i, "\n".join(x), None, None, None) for i, x in enumerate(rows)], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "l"))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.read.parquet(str(tmp_path / "l")), whole=True).collect()}
+    places = [(d, i) for d, x in enumerate(rows) for i, s in enumerate(x) if s]
+    solid = [[s for s in x if s] for x in rows]
+    at = [(d, i - sum(not s for s in rows[d][:i])) for d, i in places]
+    gone, k = set(), len(places)
+    for p in range(k):
+        for q in range(p):
+            (d, i), (e, j) = at[p], at[q]
+            n = 0
+            while i + n < len(solid[d]) and j + n < len(solid[e]) and solid[d][i + n] == solid[e][j + n]:
+                n += 1
+            if n >= 2 and sum(map(len, solid[d][i : i + n])) >= 100:
+                gone.update(places[p : p + n])
+    assert got == {d: "\n".join(s for i, s in enumerate(x) if (d, i) not in gone) for d, x in enumerate(rows)}
+    assert got[len(rows) - 1] == "u 3\n\nu 4"
+
+
 def test_near_copies(docs, empty):
     got = neardup.join_similar(docs, keep=["doc_id", "text"]).collect()
     sets = [neardup.shingle_set(r["text"]) for r in got]
