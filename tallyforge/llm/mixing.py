@@ -1,10 +1,12 @@
-"""Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
+"""Mixing sources to target weights by a low-discrepancy schedule of blocks that are equal within a source.
 
 Each source's documents are shuffled (by a hash of id and source) into one stream of words, and the stream is cut into
-blocks of ``block`` words.  A schedule of slots is laid over the whole mix: slot i takes the point frac(i * golden
-ratio), in 32-bit integer steps, and the source in whose part of the cumulative target shares the point falls.  A slot's rank among
-its source's slots names the block that fills it, round and round the source's stream, at most ``max_epochs`` times.
-So any stretch of the schedule has nearly the target shares, and each source's total is off by a few blocks.
+blocks of a size that its own target sets, so that small sources have many blocks too.  A schedule of slots is laid over the
+whole mix, as many as all sources need blocks: slot i takes the point frac(i * golden ratio), in 32-bit integer steps, and the
+source in whose part of the cumulative needs the point falls.  A slot's rank among its source's slots names the block that
+fills it, round and round the source's stream, at most ``max_epochs`` times.  So any stretch of the schedule has nearly the
+target shares.  Slots that a source doesn't need are left out, the few that it misses follow after the last slot, and its last
+block is cut where its target is reached: the words taken of a source are its target, rounded.
 
 Targets: sources in order of code points (null last) have weights 1, 2, 3, repeating; together they get all
 words; a source stops at ``max_epochs`` times its own size, and the excess is shared again by weight.
@@ -31,7 +33,7 @@ from tallyforge.llm.common import annotate
 
 MAX_SOURCES = 100_000
 MAX_EPOCHS = 3
-#: A block has at most so many words, and a mix at least so many slots a source.
+#: A block has at most so many words, and a source so many blocks if its target has as many words.
 BLOCK_WORDS, SLOTS = 8192, 1000
 #: Rows in a bucket of the two-level prefix sums, and slots in a range.
 BUCKET_ROWS, RANGE_SLOTS = 20_000, 100_000
@@ -63,31 +65,32 @@ def targets(source_sizes: dict[str | None, int], max_epochs: int = MAX_EPOCHS) -
     return out
 
 
-def block_words(total: int, sources: int) -> int:
-    """Words in a block: fewer in small mixes, so that every source has slots enough to meet its target."""
-    return max(1, min(BLOCK_WORDS, total // (SLOTS * max(1, sources))))
+def block_words(words: int) -> int:
+    """Words in a block of a source whose target is ``words``: fewer in small sources, so that each has slots enough."""
+    return max(1, min(BLOCK_WORDS, words // SLOTS))
 
 
-def _plan(spark: SparkSession, sized: DataFrame, max_epochs: int) -> tuple[DataFrame, int, int]:
-    """The sources with their targets and parts of the point range; words in a block; slots."""
+_PLAN = "_source string, source_size bigint, target double, low bigint, high bigint, words bigint, blocks bigint, need bigint, first bigint, rest bigint"
+
+
+def _plan(spark: SparkSession, sized: DataFrame, max_epochs: int) -> tuple[DataFrame, int]:
+    """The sources with their targets, parts of the point range, words in a block, blocks, slots and words of the last epoch; slots."""
     got = sized.groupBy("_source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(got) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     size = {r["_source"]: r["n"] for r in got}
-    want = targets(size, max_epochs)
-    total = sum(size.values())
-    block = block_words(total, len(size))
-    slots = math.ceil(total / block)
-    rows, at = [], 0.0
-    for s in want if total else ():
-        low, at = at, at + want[s]
-        rows.append((s, size[s], want[s], round(low / total * 2**32), round(at / total * 2**32)))
-    rows = sorted(rows, key=lambda r: r[3])
-    if rows:
-        rows[-1] = (*rows[-1][:4], 2**32)
-    else:
-        rows = [(s, 0, 0.0, 0, 0) for s in size]
-    return spark.createDataFrame(rows, "_source string, source_size bigint, target double, low bigint, high bigint"), block, slots
+    rows, slots = [], 0
+    for s, want in targets(size, max_epochs).items():
+        take = min(round(want), max_epochs * size[s])
+        words = block_words(take)
+        blocks = -(-size[s] // words)
+        epochs, rest = divmod(take, max(1, size[s]))
+        need = epochs * blocks + -(-rest // words)
+        rows.append((s, size[s], want, words, blocks, need, slots, rest))
+        slots += need
+    point = lambda at: (at << 32) // max(1, slots)
+    rows = [(s, n, want, point(first), point(first + need), words, blocks, need, first, rest) for s, n, want, words, blocks, need, first, rest in rows]
+    return spark.createDataFrame(rows, _PLAN), slots
 
 
 def _streams(sized: DataFrame, order: list[Column], buckets: int) -> DataFrame:
@@ -102,8 +105,8 @@ def _streams(sized: DataFrame, order: list[Column], buckets: int) -> DataFrame:
     return joined.withColumn("_at", F.col("_base") + F.col("_in")).drop("_s", "_b", "_base", "_in", "_mix", "_bucket")
 
 
-def schedule(spark: SparkSession, sources: DataFrame, slots: int, block: int, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix: slot, source, and the block and epoch that fill it."""
+def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
+    """The mix: slot, source, the block and epoch that fill it, and the place in the stream where a source's last block is cut."""
     point = (F.col("id") % 2**31 * F.lit(STEP)) % 2**32
     tasks = max(1, math.ceil(slots / RANGE_SLOTS))
     drawn = spark.range(0, slots, 1, tasks).select("id", point.alias("point"), F.floor(F.col("id") / RANGE_SLOTS).alias("part"))
@@ -115,19 +118,28 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int, block: int, ma
     drawn = drawn.withColumn("band", F.shiftright("point", 22)).join(F.broadcast(parts), "band").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     counts = drawn.groupBy("_source", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("_source").alias("_s"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    counts = counts.select(F.col("_source").alias("_s"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), "n")
     ranked = drawn.withColumn("_in", F.row_number().over(Window.partitionBy("_source", "part").orderBy("id")) - 1)
     ranked = ranked.join(counts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
-    ranked = ranked.withColumn("rank", F.col("_base") + F.col("_in")).withColumn("blocks", F.ceil(F.col("source_size") / block))
-    ranked = ranked.where(F.col("rank") < max_epochs * F.col("blocks"))
-    return ranked.select(F.col("id").alias("slot"), "_source", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
-
-
-def pieces(placed: DataFrame, block: int) -> DataFrame:
+    held = ["_source", "rank", "blocks", "need", "rest"]
+    ranked = ranked.withColumn("rank", F.col("_base") + F.col("_in")).where(F.col("rank") < F.col("need")).select(F.col("id").alias("slot"), *held)
+    # The schedule's counts are off by a few slots a source; what is missing comes after its end.
+    drawn_n = counts.groupBy("_s").agg(F.sum("n").alias("_have"))
+    short = sources.join(drawn_n, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
+    short = short.where(F.col("_have") < F.col("need")).withColumn("rank", F.explode(F.sequence("_have", F.col("need") - 1)))
+    ranked = ranked.unionByName(short.select((slots + F.col("first") + F.col("rank")).alias("slot"), *held))
+    until = F.when((F.col("rank") == F.col("need") - 1) & (F.col("rest") > 0), F.col("rest"))
+    return ranked.select("slot", "_source", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"), until.alias("until"))
+
+
+def pieces(placed: DataFrame, sources: DataFrame) -> DataFrame:
     """Each document's parts by block of its source's stream; a document without words has one part without a block."""
-    first, last = F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block)
+    words = F.broadcast(sources.select(F.col("_source").alias("_s"), F.col("words").alias("_w")))
+    placed = placed.join(words, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    first, last = F.floor(F.col("_at") / F.col("_w")), F.floor((F.col("_at") + F.col("size") - 1) / F.col("_w"))
     out = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    return out.withColumn("start", F.greatest(F.lit(0), F.col("block") * block - F.col("_at"))).withColumn("stop", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("_at")))
+    start, stop = F.greatest(F.lit(0), F.col("block") * F.col("_w") - F.col("_at")), F.least(F.col("size"), (F.col("block") + 1) * F.col("_w") - F.col("_at"))
+    return out.withColumn("start", start).withColumn("stop", stop).drop("_w")
 
 
 def _prepare(docs: DataFrame, keep: list[str], text: str, source: str) -> DataFrame:
@@ -144,15 +156,19 @@ def mix(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id",
     spark, keep = docs.sparkSession, list(dict.fromkeys([id_col, *(keep or [])]))
     keep = [c for c in keep if c not in ("size", "source_size", "target", "taken")]
     sized = _prepare(docs, keep, text, source)
-    sources, block, slots = _plan(spark, sized, max_epochs)
+    sources, slots = _plan(spark, sized, max_epochs)
     buckets = max(1, math.ceil(sized.count() / BUCKET_ROWS))
     placed = _streams(sized, [F.col(id_col), F.col("_source")], buckets)
-    plan, parts = schedule(spark, sources, slots, block, max_epochs), pieces(placed, block)
+    plan, parts = schedule(spark, sources, slots), pieces(placed, sources)
     filled = parts.where(F.col("block").isNotNull()).join(plan, (parts["block"] == plan["block"]) & parts["_source"].eqNullSafe(plan["_source"]))
+    filled = filled.withColumn("stop", F.least("stop", F.col("until") - F.col("_at"))).where(F.col("start") < F.col("stop"))
     filled = filled.select("slot", "epoch", parts["_source"].alias("source"), id_col, "start", "stop", F.col("_at").alias("stream_at"))
-    uses = plan.groupBy("_source", "block").agg(F.count("*").alias("_uses")).select(F.col("_source").alias("_s"), F.col("block").alias("_b"), "_uses")
+    uses = plan.groupBy("_source", "block").agg(F.count("*").alias("_uses"), F.max("until").alias("_until")).select(F.col("_source").alias("_s"), F.col("block").alias("_b"), "_uses", "_until")
     used = parts.join(uses, parts["_source"].eqNullSafe(F.col("_s")) & (parts["block"] == F.col("_b")), "left")
-    taken = used.groupBy(*keep, "_source", "size", "_at").agg(F.sum(F.coalesce((F.col("stop") - F.col("start")) * F.col("_uses"), F.lit(0))).cast("long").alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_empty"))
+    # Of a source's last block, one use may be cut.
+    cut_off = F.least(F.col("stop") - F.col("start"), F.greatest(F.lit(0), F.col("_at") + F.col("stop") - F.col("_until")))
+    words = (F.col("stop") - F.col("start")) * F.col("_uses") - F.when(F.col("_until").isNull(), 0).otherwise(cut_off)
+    taken = used.groupBy(*keep, "_source", "size", "_at").agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_empty"))
     # Documents without words share a place in the stream, so equal ones were grouped; they come back one by one.
     taken = taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1).cast("long"), F.col("_empty")))))
     shares = F.broadcast(sources.select(F.col("_source").alias("_s"), "source_size", "target"))

@@ -237,6 +237,25 @@ def test_mix(docs, empty):
     assert mixing.targets({"a": 100, "b": 1, None: 0}) == {"a": 98.0, "b": 3.0, None: 0.0}
 
 
+def test_mix_of_huge_and_tiny_sources(spark, tmp_path):
+    rows = [(i, "w " * 10_000, None, f"huge{i % 3}", None) for i in range(45)] + [(100 + i, "w " * (4 + i), None, f"tiny{i}", None) for i in range(30)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "m"))
+    slots, taken = mixing.mix(spark.read.parquet(str(tmp_path / "m")))
+    by = {r["mix_source"]: r for r in taken.groupBy("mix_source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()}
+    assert {s: r["taken"] for s, r in by.items()} == {s: round(r["target"]) for s, r in by.items()}
+    assert all(by[f"tiny{i}"]["taken"] == 3 * (4 + i) for i in range(30))
+    laid = slots.withColumn("n", F.col("stop") - F.col("start")).collect()
+    of = {}
+    for r in laid:
+        of[r["source"]] = of.get(r["source"], 0) + r["n"]
+        assert 0 <= r["epoch"] < 3 and r["n"] > 0
+    assert of == {s: r["taken"] for s, r in by.items()}
+    # Any stretch has nearly the target shares: here the first half.
+    middle = len({r["slot"] for r in laid}) / 2
+    for s in ("huge0", "huge1", "huge2"):
+        assert abs(sum(r["n"] for r in laid if r["source"] == s and r["slot"] < middle) - of[s] / 2) < 0.02 * of[s]
+
+
 BASE_PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
