@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.common import cut
 
-def chain_resolve(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """The end of each id's chain of (from_id, to_id) edges, by pointer jumping; ids on cycles resolve to null."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_edges")
-    return spark.sql(
-        f"""
-        with recursive walk(from_id, at, depth) as (
-          select from_id, to_id, 1 from _edges
-          union all select w.from_id, e.to_id, w.depth + 1 from walk w join _edges e on e.from_id = w.at where w.depth < {rounds})
-        select w.from_id as id, max(case when e.from_id is null then w.at end) as resolved, max(w.depth) as hops
-        from walk w left join _edges e on e.from_id = w.at group by w.from_id
-        """
-    )
+
+def chain_resolve(edges: DataFrame) -> DataFrame:
+    """The end of each id's chain of (from_id, to_id) edges and the edges to it, by pointer jumping.
+
+    Ids on cycles, and those that lead to one only, have neither.  After a round each open pointer has made twice the
+    steps; a longer chain holds one that ends in this round, so once a round ends none, what is open is on cycles.
+    """
+    ids = edges.select(F.col("from_id").alias("at")).distinct().withColumn("_on", F.lit(True))
+    step = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("at"), F.lit(1).cast("long").alias("hops"))
+    now = cut(step.join(ids, "at", "left").select("id", "at", "hops", F.coalesce("_on", F.lit(False)).alias("open")))
+    fresh = True
+    while fresh:
+        ahead = now.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("open").alias("_open"))
+        moved = now.where("open").join(ahead, now["at"] == ahead["_id"]).select("id", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_open").alias("open"))
+        fresh = bool((moved := cut(moved)).where(~F.col("open")).limit(1).count())
+        now = cut(now.where(~F.col("open")).unionByName(moved).groupBy("id", "at", "open").agg(F.max("hops").alias("hops")))
+    ended = ~F.col("open")
+    return now.groupBy("id").agg(F.max(F.when(ended, F.col("at"))).alias("resolved"), F.max(F.when(ended, F.col("hops"))).cast("int").alias("hops"))
 
 
 def effective(decisions: DataFrame) -> DataFrame:

@@ -51,6 +51,13 @@ def test_revokes_cancel(spark):
     assert {r["n"] for r in decisions.effective(spark.createDataFrame(rows, "n bigint, action string, target bigint")).collect()} == {2, 3, 5}
 
 
+def test_long_chains_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(700)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (2000, 2000)]
+    got = {r["id"]: (r["resolved"], r["hops"]) for r in decisions.chain_resolve(spark.createDataFrame(edges, "from_id bigint, to_id bigint")).collect()}
+    assert got == {i: (700, 700 - i) for i in range(700)} | {i: (None, None) for i in (1000, 1001, 1002, 1003, 2000)}
+    assert decisions.chain_resolve(spark.createDataFrame([], "from_id bigint, to_id bigint")).count() == 0
+
+
 def test_statement_files(spark, tmp_path):
     head = "Date,Description,Credit,Debit,Balance\n"
     (tmp_path / "a.csv").write_text(head + '01/02/2026,"Coffee, ""the"" cart - Receipt 770001",,-4.50,"1,095.50"\n02/02/2026,Pay,100.00,,1195.50\n')
