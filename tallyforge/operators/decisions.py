@@ -30,10 +30,15 @@ def chain_resolve(edges: DataFrame) -> DataFrame:
 def effective(decisions: DataFrame) -> DataFrame:
     """Decisions that hold, of (n, action, target): a decision falls if an odd number of its revokes hold themselves.
 
-    A revoke names an earlier decision, so two levels settle revokes of revokes of plain decisions.
+    A revoke acts on an earlier decision only; one that names a missing decision is left out.  So revokes make trees, and a
+    decision holds if it and all revokes below it, at whatever depth, are odd in number: counted by pointer jumping.
     """
-    revokes = decisions.where(F.col("action") == "REVOKE")
-    fallen = revokes.groupBy(F.col("target").alias("n")).agg(F.count("*").alias("_k")).where(F.col("_k") % 2 == 1)
-    holding = revokes.join(fallen, "n", "left_anti")
-    gone = holding.groupBy(F.col("target").alias("n")).agg(F.count("*").alias("_k")).where(F.col("_k") % 2 == 1)
-    return decisions.where(F.col("action") != "REVOKE").join(gone, "n", "left_anti").unionByName(holding)
+    known = decisions.select(F.col("n").alias("target")).distinct().withColumn("_known", F.lit(True))
+    judged = decisions.join(known, "target", "left").select(*decisions.columns, ((F.col("action") == "REVOKE") & F.col("_known").isNull()).alias("_missing"))
+    up = F.when((F.col("action") == "REVOKE") & ~F.col("_missing") & (F.col("target") < F.col("n")), F.col("target"))
+    trees = cut(judged.select("n", up.alias("up"), F.lit(1).cast("long").alias("odd")))
+    while trees.where(F.col("up").isNotNull()).limit(1).count():
+        below = trees.where(F.col("up").isNotNull()).groupBy(F.col("up").alias("n")).agg(F.sum("odd").alias("_below"))
+        above = trees.select(F.col("n").alias("up"), F.col("up").alias("_up"))
+        trees = cut(trees.join(below, "n", "left").join(above, "up", "left").select("n", F.col("_up").alias("up"), ((F.col("odd") + F.coalesce("_below", F.lit(0))) % 2).alias("odd")))
+    return judged.where(~F.col("_missing")).drop("_missing").join(trees.where(F.col("odd") == 1), "n", "left_semi")

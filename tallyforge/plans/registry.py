@@ -114,6 +114,18 @@ _over("chain_resolve", bridge.fact, lambda f: decisions.chain_resolve(_edges(f))
       f"with recursive fact as ({bridge.FACT}), edge as (select n as from_id, n + 7 as to_id from fact where n % 50 < 3 union all select n, n + 1 from fact where n % 50 between 10 and 14), walk as (select from_id, to_id as at, 1 as depth from edge union all select w.from_id, e.to_id, w.depth + 1 from walk w join edge e on e.from_id = w.at where depth < 40) select w.from_id as id, max(case when e.from_id is null then w.at end) as resolved, max(w.depth) as hops from walk w left join edge e on e.from_id = w.at group by 1")
 _over("effective_decisions", bridge.fact, lambda f: decisions.effective(_decisions(f)),
       _DECISIONS + " select * from decision d where (select count(*) from decision r where r.action = 'REVOKE' and r.target = d.n and not exists (select 1 from decision s where s.action = 'REVOKE' and s.target = r.n)) % 2 = 0")
+
+
+def _deep_decisions(f: DataFrame) -> DataFrame:
+    """Pins with chains of 0 to 7 revokes, each of the one before it, and revokes of missing decisions."""
+    levels = f.where(F.col("n") % 101 == 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 101) % 8)))
+    chains = levels.select((F.col("n") + 1000000 * (F.col("k") + 1)).alias("n"), F.when(F.col("k") == 0, "PIN").otherwise("REVOKE").alias("action"), (F.col("n") + 1000000 * F.col("k")).alias("target"))
+    return chains.unionByName(f.where(F.col("n") % 101 == 1).select((F.col("n") + 20000000).alias("n"), F.lit("REVOKE").alias("action"), (F.col("n") + 10000000).alias("target")))
+
+
+_over("effective_decisions_deep", bridge.fact, lambda f: decisions.effective(_deep_decisions(f)),
+      _FACT + """, l as (select n, n // 101 % 8 as top, unnest(range(0, 8)) as k from fact where n % 101 = 0)
+  select n + 1000000 * (k + 1) as n, case when k = 0 then 'PIN' else 'REVOKE' end as action, n + 1000000 * k as target from l where k <= top and (top - k) % 2 = 0""")
 _over("pending_settlement", bridge.fact, lambda f: ledger.pending_settlement(f, 60),
       _FACT + """, p as (select a.n, count(b.n) as candidates, min(b.n) as m from fact a left join fact b on b.observation = 'posted' and a.account_ref = b.account_ref and a.amount = b.amount and date_diff('day', a.date, b.date) between 0 and 60
         and len(list_intersect(list_filter(string_split(upper(a.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY')), list_filter(string_split(upper(b.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY')))) * 2

@@ -1,6 +1,7 @@
 """Identities, texts, the transfer ladder and the queries' SQL."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pytest
@@ -51,6 +52,24 @@ def test_revokes_cancel(spark):
     assert {r["n"] for r in decisions.effective(spark.createDataFrame(rows, "n bigint, action string, target bigint")).collect()} == {2, 3, 5}
 
 
+def test_revokes_at_any_depth(spark):
+    def held(rows):
+        known, revoked, out = {n for n, _, _ in rows}, {}, set()
+        for n, action, target in sorted(rows, reverse=True):
+            if action == "REVOKE" and target not in known:
+                continue
+            if not revoked.get(n, False):
+                out.add(n)
+                if action == "REVOKE":
+                    revoked[target] = not revoked.get(target, False)
+        return out
+
+    r = random.Random(8)
+    mixed = [(n, "PIN", 0) if n < 20 else (n, "REVOKE", r.choice([r.randint(1, n), n - 1, n - 1, 5000, n + 1])) for n in range(1, 300)]
+    for rows in ([(1, "PIN", 0), (2, "REVOKE", 1), (3, "REVOKE", 2), (4, "REVOKE", 3)], [(1, "PIN", 0)] + [(n, "REVOKE", n - 1) for n in range(2, 130)], mixed):
+        assert {x["n"] for x in decisions.effective(spark.createDataFrame(rows, "n bigint, action string, target bigint")).collect()} == held(rows)
+
+
 def test_long_chains_and_cycles(spark):
     edges = [(i, i + 1) for i in range(700)] + [(1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (2000, 2000)]
     got = {r["id"]: (r["resolved"], r["hops"]) for r in decisions.chain_resolve(spark.createDataFrame(edges, "from_id bigint, to_id bigint")).collect()}
