@@ -238,6 +238,18 @@ _over("account_guard", bridge.balanced, lambda f: guard.verdicts(*_files(f)),
       count(*) filter (ev.account_ref <> ch.chosen and fits) as k, coalesce(string_agg(ev.account_ref, ',' order by ev.account_ref) filter (ev.account_ref <> ch.chosen and fits), '') as others from ch join ev using (file_id) group by 1, 2),
   w as (select *, case when own then 'FITS' when k = 1 then 'ELSEWHERE' when not known then 'NEW' when odd then 'CONTRADICTS' else 'UNPROVEN' end as verdict from v)
   select file_id, chosen, verdict, case when verdict in ('ELSEWHERE', 'UNPROVEN') then others else '' end as others from w""")
+
+
+def _all_files(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A file for each account and month of the whole table, some chosen for another account and some with strange balances, and the facts of every other half year."""
+    month, rows = F.month("date"), f.withColumn("balance", F.col("balance").cast("bigint"))
+    named = rows.withColumn("file_id", F.concat_ws("/", "account_ref", F.date_format("date", "yyyy-MM"))).withColumn("chosen", F.when(month % 4 == 1, "acct-99").when(month % 4 == 2, "acct-0").otherwise(F.col("account_ref")))
+    files = named.select("file_id", "date", "amount", (F.col("balance") + F.when(month % 3 == 0, 5).otherwise(0)).alias("balance"))
+    return files, rows.where((month < 7) & (F.col("n") % 3 != 0)), named.select("file_id", "chosen").distinct()
+
+
+# No SQL: account_guard's pairs every file with every account; the tests hold this against brute force.
+_over("account_guard_all", bridge.balanced, lambda f: guard.verdicts(*_all_files(f)))
 _PAGE = ["n", "date", "account_ref", "amount", "category"]
 _over("ledger_page", bridge.fact, lambda f: reads.ledger_page(ledger.categorised(f), sort="amount", limit=200, offset=50, direction="out", start="1995-01-01", text="merchant 1", least=5000).select(*_PAGE),
       _FACT + f", k as (select *, {_CATEGORY} as category from fact) select n, date, account_ref, amount, category from k where amount < 0 and date >= date '1995-01-01' and lower(raw_description) like '%merchant 1%' and abs(amount) >= 5000 order by amount desc, n limit 200 offset 50")
