@@ -1,4 +1,4 @@
-"""Decisions: which of them hold, the newest per target, and chains of replaced ids."""
+"""Decisions: which of them hold, and the ends of chains of replaced ids."""
 
 from __future__ import annotations
 
