@@ -4,8 +4,9 @@ Base spans come from four patterns with checks (e-mail, IPv4, card number with L
 adds spans that the patterns miss: its nodes are a text's *units* (runs of non-white-space with a digit or ``@``), each
 with features of its form, its neighbours and the base span over it.  Neighbouring units are joined by chain edges;
 units that repeat or are similar (same letters and digits, or the same last seven digits) are joined, each to its next
-occurrence, by skip edges, so a text has fewer edges than twice its units.  Loopy sum-product messages run over both,
-which carries a label from a clear place (a number after "phone") to its unclear repeats.  Node, chain and skip
+occurrence, by skip edges, so a text has fewer edges than twice its units.  Loopy sum-product messages run over both until
+they settle, which carries a label from a clear place (a number after "phone") to its unclear repeats, however many, as far as
+the potentials allow.  Node, chain and skip
 potentials are trained by stochastic gradient steps on texts with known labels that a seeded generator writes.
 
 Base spans always stay; an added span never overlaps one.
@@ -16,6 +17,7 @@ white space are one unit; spans are in code points, end exclusive.
 
 from __future__ import annotations
 
+import collections
 import functools
 import re
 
@@ -29,7 +31,8 @@ from tallyforge.llm.common import annotate
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 LABELS = ("", *KINDS)
-ROUNDS, DAMPING = 8, 0.3
+#: Messages run until none moves by SETTLED, for at most ROUNDS rounds and as many more for each edge of the longest skip chain.
+ROUNDS, DAMPING, SETTLED = 8, 0.3, 1e-4
 FIELDS = "spans array<struct<kind:string,start:int,stop:int,base:boolean>>"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -137,6 +140,7 @@ class Graph:
     def __init__(self, text: str, base: list[tuple[int, int, str]]):
         self.units: list[tuple[int, int]] = []
         self.features, last, edges, order = [], {}, [], []
+        repeats: collections.Counter[str] = collections.Counter()
         previous, place = "", 0
         b = 0
         for m in _UNIT.finditer(text):
@@ -155,9 +159,11 @@ class Graph:
                 if len(k := key(word)) >= 4:
                     if k in last and last[k] != i:
                         edges.append((last[k], i, 1))
+                        repeats[k] += 1
                     last[k] = i
             previous = word
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
+        self.rounds = ROUNDS * (1 + max(repeats.values(), default=0))
         self.matrix = np.array(self.features).reshape(len(self.units), -1)
 
 
@@ -169,7 +175,8 @@ def marginals(graph: Graph, model: dict) -> tuple[np.ndarray, np.ndarray]:
     a, b, kind = graph.edges.T
     pair = model["pair"][kind]
     there, back = np.zeros((len(a), len(LABELS))), np.zeros((len(a), len(LABELS)))
-    for _ in range(ROUNDS):
+    for _ in range(graph.rounds):
+        before = there, back
         belief = node.copy()
         np.add.at(belief, b, there)
         np.add.at(belief, a, back)
@@ -177,6 +184,8 @@ def marginals(graph: Graph, model: dict) -> tuple[np.ndarray, np.ndarray]:
         old = _log_sum((belief[b] - there)[:, None, :] + pair, 2)
         there = DAMPING * there + (1 - DAMPING) * (new - new.max(1, keepdims=True))
         back = DAMPING * back + (1 - DAMPING) * (old - old.max(1, keepdims=True))
+        if max(np.abs(there - before[0]).max(), np.abs(back - before[1]).max()) < SETTLED:
+            break
     belief = node.copy()
     np.add.at(belief, b, there)
     np.add.at(belief, a, back)

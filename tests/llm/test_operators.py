@@ -275,6 +275,23 @@ def test_personal_data(docs, empty):
     assert pii.find_personal(empty).count() == 0
 
 
+def test_evidence_reaches_every_repeat():
+    text = "token x7y8z9w0" + " on the x7y8z9w0" * 49
+    graph, n = pii.Graph(text, []), len(pii.LABELS)
+    model = {"node": np.zeros((graph.matrix.shape[1], n)), "pair": np.array([np.zeros((n, n)), 8 * np.eye(n)])}
+    model["node"][-1, -1] = 6
+    assert len(graph.units) == 50 and (graph.edges[:, 2] == 1).all()
+    # The repeats are a path, so its marginals are known: forward and backward sums.
+    own, pair = np.exp(graph.matrix @ model["node"]), np.exp(model["pair"][1])
+    there, back = [np.ones(n)], [np.ones(n)]
+    for i in range(49):
+        there.append((m := pair @ (there[-1] * own[i])) / m.sum())
+        back.append((m := pair @ (back[-1] * own[49 - i])) / m.sum())
+    want = own * np.array(there) * np.array(back[::-1])
+    alone, _ = pii.marginals(graph, model)
+    assert np.allclose(alone, want / want.sum(1, keepdims=True), atol=1e-3) and (alone.argmax(1) == n - 1).all() and (alone.max(1) > 0.5).all()
+
+
 def test_licenses(docs, empty):
     got = [{(m["label"], m["start"]) for m in r["matches"]} for r in licenses.scan_licenses(docs.withColumn("matches", F.lit(1)), keep=["doc_id"]).collect()]
     for t, found in zip(texts(docs), got, strict=True):
