@@ -8,7 +8,7 @@ The scores of two classes differ by (w1 - w0) . average + (b1 - b0), so after tr
 folded into the one number that it adds; scoring is one table lookup a feature, which is the same model.
 
 Learning takes at most ``MAX_DOCS`` labelled documents with at most ``MAX_BYTES`` of whole texts together (those first by a hash
-of their id), a documented bound.  Scoring covers every whole text.
+of their id), a documented bound; a text that doesn't fit into what is left of it is passed over, and later ones that fit are taken.  Scoring covers every whole text.
 
 Defined results: null and empty texts have no features and get the bias' score; labels that are null or of no document
 are ignored; repeated labels of a document count each; without any label every score is 0.5; repeated
@@ -114,7 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_docs: i
     # At most max_docs rows are on the small side, so it can always be broadcast.
     found = texts.join(F.broadcast(rows), "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("_y"), F.col("_raw")]
-    found = found.orderBy(*order).limit(max_docs).withColumn("_total", F.sum(F.length("_raw")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.orderBy(*order).limit(max_docs).withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+    fits, total = [], 0
+    for place, n in sorted(found.select("_place", F.length("_raw")).collect()):
+        if total + n <= max_bytes:
+            fits.append(place)
+            total += n
     # The bounded sample is one partition; one task learns from it, and only the model comes to the driver.
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, classes = [], []
@@ -126,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_docs: i
             yield pa.RecordBatch.from_arrays([pa.array([model["table"].tobytes()], pa.binary()), pa.array([model["bias"]])], names=["weights", "bias"])
 
     settle(docs.sparkSession)
-    sample = found.where(F.col("_total") <= max_bytes).select("_raw", "_y").coalesce(1)
+    sample = found.where(F.col("_place").isin(fits)).select("_raw", "_y").coalesce(1)
     got = sample.mapInArrow(learn, "weights binary, bias double").collect()
     return {"table": np.frombuffer(got[0]["weights"], np.float32), "bias": got[0]["bias"]} if got else train([], [], 0)
 

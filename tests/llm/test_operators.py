@@ -205,6 +205,16 @@ def test_quality(spark, docs, empty):
     assert quality.fit(empty, labels.limit(0))["bias"] == 0 and quality.classify(empty, model).count() == 0
 
 
+def test_quality_learns_past_a_text_that_does_not_fit(spark):
+    rows = [(i, prose(i, 40) if i < 60 else " ".join(x + "%%%" for x in prose(i, 40).split()), None, None, None) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)], "doc_id bigint, quality int, toxic int")
+    first = labels.where(quality.fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    table = spark.createDataFrame([(i, "long " * 20_000 if i == first else t, *x) for i, t, *x in rows], SCHEMA)
+    model = quality.fit(table, labels, max_bytes=60_000, steps=2000)
+    got = {r["doc_id"]: r["score"] for r in quality.classify(table, model, ["doc_id"]).collect()}
+    assert np.mean([(got[i] >= 0.5) == (i < 60) for i in range(120) if i != first]) > 0.95
+
+
 def test_top_k(spark):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 8)]) for i in range(60)]
