@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut
+from tallyforge.session import cut
 
 
 def chain_resolve(edges: DataFrame) -> DataFrame:

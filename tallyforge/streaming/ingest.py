@@ -7,9 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+from tallyforge.session import shared_folder
 
 
 def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
