@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyforge.session import find_package
+from tallyforge.session import cut, find_package, shared_folder
 
+__all__ = ["annotate", "cut", "fresh", "join_classes", "numbered", "settle", "shared_folder", "shuffle_parts", "table"]
 #: Rows in an Arrow batch; texts can be long, so fewer than Spark's default.
 BATCH_ROWS = 1000
 
@@ -30,21 +30,6 @@ def settle(spark: SparkSession) -> None:
     find_package(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where that is unset, one under the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write a Parquet table in the shared folder and read it; it goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Classes that are joined by broadcast hold over 1/HOT of all rows each, so there are fewer than HOT of them.
 HOT = 1000
 
@@ -71,6 +56,14 @@ def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores more as make it the name of no column (in any case) of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -75,7 +75,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Checked matches as (start, end, kind), by start and then kind as listed."""
     out = [(a, b, "email") for a, b in emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
             out.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         digits = re.sub("[ -]", "", m.group())
@@ -164,7 +164,7 @@ class Graph:
             previous = word
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
         self.rounds = ROUNDS * (1 + max(repeats.values(), default=0))
-        self.matrix = np.array(self.features).reshape(len(self.units), -1)
+        self.matrix = np.array(self.features).reshape(len(self.units), _FORMS + len(LABELS) + len(KINDS))
 
 
 def marginals(graph: Graph, model: dict) -> tuple[np.ndarray, np.ndarray]:

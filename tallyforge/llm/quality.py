@@ -17,7 +17,6 @@ rows get equal scores; non-text columns are never read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,6 +144,3 @@ def classify(docs: DataFrame, model: dict, keep: list[str] | None = None, name:
 def learned(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return classify(docs, fit(docs, labels), **options)
 
-
-def log_loss(scores: list[float], labels: list[int]) -> float:
-    return -sum(math.log(max(1e-9, s if y else 1 - s)) for s, y in zip(scores, labels, strict=True)) / max(1, len(labels))
