@@ -6,19 +6,18 @@ the mix takes of each document.  Stages treat nulls, empty texts and repeated ro
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, lines, mixing, neardup, quality
-from tallyforge.llm.common import numbered, shared_folder, table
+from tallyforge.llm.common import cut, fresh, numbered, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold; the model learns from the labels of this run's documents."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, model, name="_quality").where(F.col("_quality") >= quality.THRESHOLD).drop("_quality")
+    score = fresh(docs, "_quality")
+    return quality.classify(docs, model, name=score).where(F.col(f"`{score}`") >= quality.THRESHOLD).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +40,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of which the mix takes any word, with the words it takes (repeats counted)."""
-    rows = numbered(docs)
-    taken = mixing.mix(rows, keep=["_row"])[1].where(F.col("taken") > 0).select("_row", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"))
-    return rows.join(taken, "_row").drop("_row")
+    added = {"size": "mix_size", "target": "mix_target", "taken": "mix_taken"}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added.values()])
+    row = fresh(docs, "_row")
+    taken = mixing.mix(numbered(docs, row), keep=[row])[1].where(F.col("taken") > 0)
+    return numbered(docs, row).join(taken.select(row, *[F.col(c).alias(a) for c, a in added.items()]), row).drop(row)
 
 
 STAGES = [
@@ -59,12 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
+    """All stages over ``documents``; each result but the last is written to the shared folder, until the application ends, and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{shared_folder(spark)}/stage-{i}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = cut(docs)
     return docs
