@@ -57,7 +57,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
     of_kind = lambda k: F.filter("spans", lambda s: s["base"] & (s["kind"] == k))
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_found"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +78,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line dedup that judges whole runs; OP9_SQL judges each two lines alone, so this has no SQL."""
-    docs = table(spark, sf_dir, "documents")
-    found = lines.dedup_lines(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), whole=True)
-    return found.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
-
-
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
@@ -93,7 +86,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    made = (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_token_counts, op4_quality_classifier, op5_maxscore_top_k, op6_mix_sources, op7_personal_data, op8_license_scan, op9_line_dedup, op10_decontaminate, op9_line_runs)
+    made = (op1_ngram_jaccard_join, op2_suffix_array_dedup, op3_token_counts, op4_quality_classifier, op5_maxscore_top_k, op6_mix_sources, op7_personal_data, op8_license_scan, op9_line_dedup, op10_decontaminate)
     return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
@@ -134,13 +127,20 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 OP9_SQL = """
 with line as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as s, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents),
-solid as (select *, row_number() over (order by doc_id, i) as pos from line where regexp_matches(s, '[^\\x20\\x09-\\x0D]')),
-pair as (select *, lead(s) over (partition by doc_id order by i) as s2, lead(i) over (partition by doc_id order by i) as i2 from solid),
-judged as (
-  select *, length(s) >= 200 and row_number() over (partition by s order by pos) > 1 as single,
-    s2 is not null and length(s) + length(s2) >= 100 and row_number() over (partition by s, s2 order by pos) > 1 as both_lines
-  from pair),
-gone as (select doc_id, i from judged where single or both_lines union select doc_id, i2 from judged where both_lines),
+solid as (
+  select *, length(s) as c, row_number() over (order by doc_id, i) as pos, row_number() over (partition by doc_id order by i) as p
+  from line where regexp_matches(s, '[^\\x20\\x09-\\x0D]')),
+total as (select *, sum(c) over (partition by doc_id order by p) as t from solid),
+enough as (
+  select a.doc_id, a.p, b.p as q from total a join total b on a.doc_id = b.doc_id and b.p between a.p + 1 and a.p + 100 and b.t - a.t + a.c >= 100),
+span as (select doc_id, p, min(q) as q from enough group by doc_id, p union select doc_id, max(p), q from enough group by doc_id, q),
+said as (
+  select span.doc_id, span.p, span.q, min(pos) as pos, string_agg(s, chr(10) order by solid.p) as said
+  from span join solid on solid.doc_id = span.doc_id and solid.p between span.p and span.q group by 1, 2, 3),
+later as (select * from said qualify row_number() over (partition by said order by pos) > 1),
+gone as (
+  select solid.doc_id, i from later join solid on solid.doc_id = later.doc_id and solid.p between later.p and later.q
+  union select doc_id, i from (select *, row_number() over (partition by s order by pos) as r from solid where c >= 200) where r > 1),
 marked as (select l.doc_id, l.i, l.s, g.i is not null as gone, regexp_matches(l.s, '[^\\x20\\x09-\\x0D]') as solid from line l left join gone g on g.doc_id = l.doc_id and g.i = l.i),
 run as (select *, coalesce(lag(gone) over (partition by doc_id order by i), false) as before from marked where solid),
 runs as (select doc_id, count(*) filter (gone and not before) as n_runs from run group by doc_id),
