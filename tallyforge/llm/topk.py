@@ -1,22 +1,27 @@
 """Exact top-k search by MaxScore over sharded impact postings.
 
 Vectors are quantised to integers, floor(256 * x).  A term is a component with a sign; a vector stands in the posting list
-of (component, +) if that component is positive and of (component, -) if it is negative.  A query with a positive
-component asks for the + list, with a negative one for the - list; only there can the product be positive, so a list's
-largest impact times the query's weight bounds what its term adds, and what all other lists hold adds nothing or less.
+of (component, +) with its impact if that component is positive, and of (component, -) if it is negative.  A query with a positive
+component asks for the + list, with a negative one for the - list: there products are positive, and a list's
+largest impact times the query's weight bounds what its term adds.  What the opposite lists hold takes away, so it never lifts a bound.
 
-Each Arrow batch of candidates is a shard.  Within one, for each query: terms are sorted by their bounds; the longest
+About ``SHARD_ROWS`` candidates are a shard with postings of its own.  For each query, its terms are sorted by their bounds; the longest
 run of the smallest bounds whose sum stays below the current k-th score is non-essential.  A vector that only
-non-essential lists hold can't enter the result, so only the essential lists are traversed.  Their vectors' essential
-parts are summed, and the non-essential terms are probed from the largest bound down, while the sum and the bounds left
-can still reach the k-th score.  The k-th score begins with that of a few vectors of high impact, and rises block by block.
-Shards give k rows a query at most; a window over queries merges them.
+non-essential lists hold can't enter the result.  So only the essential lists are traversed, and add up what each of their vectors gains at
+most; vectors whose gain and the bounds left can't reach the k-th score leave.  The others are probed, first for what the essential
+components take away, then for the non-essential terms from the largest bound down, while they stay competitive.
 
-Queries are broadcast in blocks of at most ``QUERY_BLOCK`` (a bounded size); every candidate meets every block.
+The k-th score begins with that of a few vectors of high impact.  It is carried from shard to shard inside a task, as k
+vectors that reached it elsewhere make every lower score useless.  Shards give k rows a query at most; a window over queries merges them.
+
+Queries are broadcast in blocks of at most ``QUERY_BYTES`` of vectors (a bounded size), of which the driver holds one at a time;
+every candidate meets every block.  So the table is read once for each such block, not once for some fixed number of queries.
 
 Defined results: null ids or vectors, and vectors that are empty or hold null or non-finite components, take no part; vectors
 of another length than the query's are no candidates for it; ties go to the smaller id; rows that repeat an id and vector are
-each candidates, except that a query's own id is none.
+each candidates, except that a query's own id is none; query rows that repeat an id and vector are one query, and those that share
+an id only are ranked apart, under the same ``query_id``.  Components and scores beyond 64 bits become the nearest 64-bit integer;
+products are computed exactly before.
 """
 
 from __future__ import annotations
@@ -32,9 +37,12 @@ from tallyforge.llm.common import settle
 
 SCALE = 256
 K_BEST = 5
-QUERY_BLOCK = 4096
+#: Bytes of query vectors in one broadcast, and candidates in a shard.
+QUERY_BYTES = 32 << 20
 SHARD_ROWS = 4096
-_LOW = np.iinfo(np.int64).min
+#: Terms probed at once.
+PROBE = 8
+_LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def quantised(vector: Column) -> Column:
@@ -45,48 +53,66 @@ def quantised(vector: Column) -> Column:
 
 
 class Shard:
-    """Postings of some vectors: by term, the rows that hold it and its largest impact."""
+    """Postings of some vectors: by component and sign, the rows that hold it and their impacts."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.above = [np.flatnonzero(c > 0) for c in vectors.T]
-        self.below = [np.flatnonzero(c < 0) for c in vectors.T]
-        self.most = np.maximum(vectors.max(0), 0)
-        self.least = np.minimum(vectors.min(0), 0)
-        self.seeds_above, self.seeds_below = np.argsort(-vectors, axis=0, kind="stable")[:32], np.argsort(vectors, axis=0, kind="stable")[:32]
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own."""
+        self.ids, self.vectors, self.wide = ids, vectors, None
+        self.postings = []
+        for sign in (1, -1):
+            rows = [np.flatnonzero(c * sign > 0) for c in vectors.T]
+            self.postings.append([(r, c[r]) for r, c in zip(rows, vectors.T, strict=True)])
+        self.most, self.least = np.maximum(vectors.max(0), 0), np.minimum(vectors.min(0), 0)
+        self.size = max(int(self.most.max()), -int(self.least.min()))
+        self.seeds = [np.argsort(-vectors * sign, axis=0, kind="stable")[:32] for sign in (1, -1)]
+
+    def best(self, query_id: int, query: np.ndarray, k: int, floor: int = _LOW) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but the query's own, of those that score ``floor`` at least."""
+        if self.size * max(int(query.max()), -int(query.min())) * len(query) >= 1 << 62:
+            return self._wide_best(query_id, query, k)
+        minus = (query < 0).astype(np.int64)
         bound = np.where(query > 0, query * self.most, query * self.least)
         order = np.argsort(bound, kind="stable")
         rising = np.cumsum(bound[order])
-        seeds = np.unique(np.concatenate([(self.seeds_above if query[d] > 0 else self.seeds_below)[:, d] for d in order[-4:]]))
+        seeds = np.unique(np.concatenate([self.seeds[minus[d]][:, d] for d in order[-4:]]))
         seeds = seeds[self.ids[seeds] != query_id]
-        kth = self._kth(self.vectors[seeds] @ query, k)
+        kth = max(floor, self._kth(self.vectors[seeds] @ query, k))
         free = int(np.searchsorted(rising, kth, "left")) if kth > _LOW else 0
         slight, essential = order[:free], order[free:]
-        if kth <= 0:
-            # Rows that no list holds score 0 or less; they matter while the k-th score isn't positive.
-            rows = np.arange(len(self.ids))
-        else:
-            held = np.zeros(len(self.ids), bool)
-            for d in essential.tolist():
-                held[self.above[d] if query[d] > 0 else self.below[d]] = query[d] != 0
-                if held.all():
-                    break
-            rows = np.flatnonzero(held)
-        rows = rows[self.ids[rows] != query_id]
-        total = self.vectors[rows][:, essential] @ query[essential]
-        # Probe the largest bounds left, some terms at a time, while rows stay competitive.
-        while len(slight):
-            stay = total + rising[len(slight) - 1] >= kth
+        if len(slight) == len(order):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        gain, held = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
+        for d in essential.tolist():
+            rows, impacts = self.postings[minus[d]][d]
+            if query[d]:
+                gain[rows] += query[d] * impacts
+                held[rows] = True
+        # Rows that no essential list holds score what slight terms add at most; they matter while the k-th score doesn't pass that.
+        rest = int(rising[free - 1]) if free else 0
+        rows = np.flatnonzero((gain + rest >= kth) & (held | (rest >= kth)) & (self.ids != query_id))
+        total = gain[rows]
+        for at in range(0, len(essential), PROBE):
+            part = essential[len(essential) - at - PROBE if len(essential) > at + PROBE else 0 : len(essential) - at]
+            total = total + np.where(self.vectors[rows][:, part] * query[part] < 0, self.vectors[rows][:, part] * query[part], 0).sum(1)
+            stay = total + rest >= kth
             rows, total = rows[stay], total[stay]
-            probe, slight = slight[-8:], slight[:-8]
-            total = total + self.vectors[rows][:, probe] @ query[probe]
+        while len(slight):
+            part, slight = slight[-PROBE:], slight[:-PROBE]
+            total = total + self.vectors[rows][:, part] @ query[part]
             kth = max(kth, self._kth(total + self._worst(query, slight), k))
+            stay = total + (int(rising[len(slight) - 1]) if len(slight) else 0) >= kth
+            rows, total = rows[stay], total[stay]
         keep = np.lexsort((self.ids[rows], -total))[:k]
         return self.ids[rows][keep], total[keep]
 
+    def _wide_best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same with unbounded integers, for components whose products could leave 64 bits."""
+        if self.wide is None:
+            self.wide = self.vectors.astype(object)
+        rows = np.flatnonzero(self.ids != query_id)
+        total = np.array([min(_HIGH, max(_LOW, x)) for x in self.wide[rows] @ query.astype(object)], np.int64)
+        keep = sorted(range(len(rows)), key=lambda i: (-int(total[i]), int(self.ids[rows[i]])))[:k]
+        return self.ids[rows[keep]], total[keep]
+
     def _worst(self, query: np.ndarray, terms: np.ndarray) -> int:
         """The least that the terms can add, so that a partial sum is a sure score."""
         return int(np.where(query[terms] > 0, query[terms] * self.least[terms], query[terms] * self.most[terms]).sum())
@@ -96,28 +122,31 @@ class Shard:
         return int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else _LOW
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    ids, vectors = [], []
+def _blocks(queries: DataFrame, limit: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    ids, vectors, used = [], [], 0
     for q in queries.toLocalIterator():
         ids.append(q[0])
         vectors.append(np.array(q[1], np.int64))
-        if len(ids) == size:
-            yield np.array(ids), vectors
-            ids, vectors = [], []
+        used += vectors[-1].nbytes
+        if used >= limit:
+            yield ids, vectors
+            ids, vectors, used = [], [], 0
     if ids:
-        yield np.array(ids), vectors
+        yield ids, vectors
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K_BEST, id_col: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K_BEST, id_col: str = "vec_id", vector: str = "embedding", query_bytes: int = QUERY_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, id and score of each query's k best other rows, by integer inner product."""
     settle(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), quantised(F.col(vector)).alias("_v")).where(F.col("_id").isNotNull() & F.col("_v").isNotNull())
     queries = vectors.where(is_query).select(F.col(id_col).cast("long").alias("_id"), quantised(F.col(vector)).alias("_v")).where(F.col("_id").isNotNull() & F.col("_v").isNotNull())
-    context, found = vectors.sparkSession.sparkContext, None
-    for block in _blocks(queries.dropDuplicates(), query_block):
+    context, found, before = vectors.sparkSession.sparkContext, None, 0
+    for block in _blocks(queries.dropDuplicates(), query_bytes):
         shared = context.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, before=before) -> Iterator[pa.RecordBatch]:
+            # The k best scores that this task has seen for each query; the least of them is the next shards' floor.
+            seen: dict[int, np.ndarray] = {}
             for batch in _merged(batches, shard_rows):
                 lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
                 ids, flat = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False)
@@ -125,21 +154,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = K_BEST, id_col: str =
                 for size in np.unique(lengths).tolist():
                     own = np.flatnonzero(lengths == size)
                     shard = Shard(ids[own], flat[begins[own][:, None] + np.arange(size)])
-                    out: tuple[list, list, list] = ([], [], [])
-                    for q, v in zip(shared.value[0].tolist(), shared.value[1], strict=True):
+                    out: tuple[list, list, list, list] = ([], [], [], [])
+                    for i, (q, v) in enumerate(zip(*shared.value, strict=True)):
                         if len(v) == size:
-                            got, scores = shard.best(q, v, k)
-                            out[0].append(np.full(len(got), q))
-                            out[1].append(got)
-                            out[2].append(scores)
+                            had = seen.get(i)
+                            got, scores = shard.best(q, v, k, int(had[-1]) if had is not None and len(had) == k else _LOW)
+                            if len(got):
+                                seen[i] = scores if had is None else np.sort(np.concatenate([had, scores]))[::-1][:k]
+                                for x, y in zip(out, (np.full(len(got), q), np.full(len(got), before + i), got, scores), strict=True):
+                                    x.append(y)
                     if out[0]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", id_col, "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "_q", id_col, "score"])
 
-        hits = rows.mapInArrow(run, f"query_id bigint, `{id_col}` bigint, score bigint")
-        found = hits if found is None else found.unionByName(hits)
+        hits = rows.mapInArrow(run, f"query_id bigint, _q bigint, `{id_col}` bigint, score bigint")
+        found, before = hits if found is None else found.unionByName(hits), before + len(block[0])
     if found is None:
         return vectors.sparkSession.createDataFrame([], f"query_id bigint, rank int, `{id_col}` bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    best = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc(id_col))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 
 

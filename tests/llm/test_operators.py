@@ -228,6 +228,14 @@ def test_top_k(spark):
         scored = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
         want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)}
     assert got == want
+    assert topk.search(table.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    # Blocks of a few queries give the same; rows that share an id only are ranked apart; products beyond 64 bits are exact.
+    few = {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.search(table, F.col("vec_id") % 10 == 0, query_bytes=100, shard_rows=7).collect()}
+    assert few == want
+    twice = table.unionByName(spark.createDataFrame([(10, [0.9] * 8)], table.schema))
+    assert topk.search(twice, F.col("vec_id") == 10, shard_rows=16).count() == 10
+    huge = spark.createDataFrame([(0, [1e17, 1e17]), (1, [-1e17, 1e17]), (2, [1.0, 0.0]), (3, [-1e17, -1e17])], table.schema)
+    assert [(x["vec_id"], x["score"]) for x in topk.search(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(2, 256 * (2**63 - 1) if 256 * (2**63 - 1) < 2**63 else 2**63 - 1), (1, -(2**63 - 1)), (3, -(2**63))]
 
 
 def test_mix(docs, empty):
