@@ -2,10 +2,13 @@
 
 A template is a text with two kinds of marked regions: ``<<beginOptional>> … <<endOptional>>`` may be missing, and
 ``<<var;max=k>>`` stands for 0 to k arbitrary words.  All other words are mandatory and have to stand exactly as
-written.  Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.  Each template becomes a
-nondeterministic automaton over words; a text is scanned from every word that can begin a template, and the longest
-accepted run from each start is a match.  As mandatory words can't be missing, only texts that hold a template's
-``anchor`` (its rarest mandatory word, the longest) are run through the automata; that skips no match.
+written.  Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased, in templates too, so case, layout and punctuation
+don't count.  Each template becomes a nondeterministic automaton over words; a text is scanned from every word that can begin a
+template, and the longest accepted run from each start is a match.  A match that has all of a text's words *accepts* the text: it is
+that licence and nothing else.  As mandatory words can't be missing, only texts that hold a template's
+``anchor`` (its longest mandatory word) are run through the automata; that skips no match.
+
+Templates are whole licence texts, headers, notices and tags (``license_texts``); any others may be given.
 
 Defined results: a null text is empty; an empty text has no words and no match; repeated rows are scanned each on its
 own; a phrase that stands several times matches at each place.
@@ -20,26 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyforge.llm import kernels as K
+from tallyforge.llm import license_texts
 from tallyforge.llm.common import annotate
 
 #: Phrases without regions, which are the contract's base, by label.
 BASE = {"gpl": "gnu general public license", "apache": "apache license", "cc-by": "cc by", "mit": "mit license"}
-#: Notices by label (SPDX-like names).
-NOTICES = {
-    "gpl-3.0-notice": "<<beginOptional>>this <<var;max=4>> is<<endOptional>> licensed under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>the<<endOptional>> gnu general public license <<beginOptional>>gpl<<endOptional>> <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
-    "gpl-2.0-notice": "<<beginOptional>>this <<var;max=4>> is<<endOptional>> licensed under <<beginOptional>>the terms of<<endOptional>> <<beginOptional>>the<<endOptional>> gnu general public license <<beginOptional>>gpl<<endOptional>> <<beginOptional>>either<<endOptional>> version 2",
-    "apache-2.0-notice": "licensed under the apache license version 2 0 <<beginOptional>>the license you may not use this file except in compliance with the license<<endOptional>>",
-    "mit-notice": "<<beginOptional>>this <<var;max=4>> is<<endOptional>> <<beginOptional>>licensed<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>distributed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this <<var;max=3>> and associated documentation files",
-    "cc-by-4.0-notice": "licensed under <<beginOptional>>a creative commons attribution<<endOptional>> <<beginOptional>>license<<endOptional>> cc by 4 0",
-    "cc-by-nc-4.0-notice": "licensed under <<beginOptional>>a creative commons attribution<<endOptional>> <<beginOptional>>license<<endOptional>> cc by nc 4 0",
-    "cc-by-sa-4.0-notice": "licensed under <<beginOptional>>a creative commons attribution<<endOptional>> <<beginOptional>>license<<endOptional>> cc by sa 4 0",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted",
-}
+ALL = BASE | license_texts.NOTICES | license_texts.TEXTS | license_texts.TAGS
 #: Mandatory words that make a match certain (score 1).
 STRONG = 8
-FIELDS = "n_words bigint, matches array<struct<label:string,start:int,stop:int,mandatory:int>>"
-_MARK = re.compile(r"<<beginOptional>>|<<endOptional>>|<<var;max=(\d+)>>|[^\s<]+")
+FIELDS = "n_words bigint, matches array<struct<label:string,start:int,stop:int,mandatory:int,accepts:boolean>>"
+_MARK = re.compile(r"<<beginOptional>>|<<endOptional>>|<<var;max=(\d+)>>|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 class Automaton:
@@ -48,7 +41,7 @@ class Automaton:
     def __init__(self, label: str, markup: str):
         self.label, self.step, self.skip, self.anything = label, [{}], [[]], {}
         mandatory, opened, at = [], [], 0
-        for m in _MARK.finditer(markup.lower().replace("beginoptional", "beginOptional").replace("endoptional", "endOptional")):
+        for m in _MARK.finditer(re.sub("[A-Z]+", lambda x: x.group().lower(), markup).replace("beginoptional", "beginOptional").replace("endoptional", "endOptional")):
             token = m.group()
             if token == "<<beginOptional>>":
                 opened.append(at := self._skip_to(at))
@@ -130,7 +123,7 @@ class Scanner:
                 # A run that ends inside an earlier one of the same label only lacks its optional beginning.
                 if w in a.first and (end := a.longest(words, i)) > last.get(a.label, 0):
                     last[a.label] = end
-                    out.append({"label": a.label, "start": i, "stop": end, "mandatory": a.mandatory})
+                    out.append({"label": a.label, "start": i, "stop": end, "mandatory": a.mandatory, "accepts": i == 0 and end == len(words)})
         return out
 
     def scan(self, column: pa.Array) -> list[pa.Array]:
@@ -142,11 +135,11 @@ class Scanner:
             for d in np.unique(np.searchsorted(first, at, "right") - 1).tolist():
                 a, b = first[d], first[d + 1]
                 found[row + d] = self.matches([low[s:e].tobytes() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)])
-        kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("mandatory", pa.int32())]))
+        kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("mandatory", pa.int32()), ("accepts", pa.bool_())]))
         return [pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()), pa.array(found, kind)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with n_words and every match: label, word places, and the template's number of mandatory words."""
-    scanner = Scanner(BASE | NOTICES if templates is None else templates)
+    """``docs`` with n_words and every match: label, word places, the template's number of mandatory words, and whether it accepts the whole text."""
+    scanner = Scanner(ALL if templates is None else templates)
     return annotate(docs, scanner.scan, FIELDS, keep, text)

@@ -69,6 +69,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         labels(base).alias("base_labels"), labels("matches").alias("labels"), F.least(F.lit(1.0), F.coalesce(strongest, F.lit(0)) / licenses.STRONG).alias("score"),
+        labels(F.filter("matches", lambda m: m["accepts"])).alias("accepted"),
     )
 
 

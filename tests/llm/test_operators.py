@@ -321,6 +321,32 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def plain_text(markup, r, optional):
+    """A text that a template accepts: optional regions in or out, some words for each replaceable one."""
+    while "<<beginOptional>>" in markup:
+        end = markup.index("<<endOptional>>")
+        begin = markup.rindex("<<beginOptional>>", 0, end)
+        inside = markup[begin + 17 : end] if optional(r) else " "
+        markup = markup[:begin] + inside + markup[end + 15 :]
+    return re.sub(r"<<var;max=(\d+)>>", lambda m: " ".join(f"name{i}" for i in range(r.randint(0, int(m.group(1))))), markup)
+
+
+def test_whole_licences_are_accepted():
+    r = random.Random(2)
+    words = lambda t: WORDS.findall(t.encode().lower())
+    scanner = licenses.Scanner(licenses.ALL)
+    for label, markup in licenses.license_texts.TEXTS.items():
+        for optional in (lambda _: True, lambda _: False, lambda r: r.random() < 0.5):
+            text = words(plain_text(markup, r, optional))
+            assert label in {m["label"] for m in scanner.matches(text) if m["accepts"]}, label
+            found = {m["label"]: m for m in scanner.matches([b"before", *text, b"after"])}
+            assert found[label]["stop"] > found[label]["start"] >= 1 and not found[label]["accepts"]
+            # A mandatory word less, and the text is that licence no more.
+            broken = list(text)
+            broken.remove(licenses.Automaton(label, markup).anchor)
+            assert label not in {m["label"] for m in scanner.matches(broken) if m["accepts"]} or broken.count(licenses.Automaton(label, markup).anchor)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
