@@ -12,8 +12,9 @@ Targets: sources in order of code points (null last) have weights 1, 2, 3, repea
 words; a source stops at ``max_epochs`` times its own size, and the excess is shared again by weight.
 
 A hot source is never one task's work: streams are offset by two-level prefix sums (hash buckets within sources) and slots are
-ranked by counts of fixed ranges of slots.  Only the table of sources comes to the driver (refused beyond
-``MAX_SOURCES``).
+ranked by counts of fixed ranges of slots.  The table of sources is stored, numbered in its order and given its targets by
+distributed sums, whatever its length; only one row of sums for each round of sharing and one for each of its partitions come to the
+driver.  It is broadcast while it has at most ``BROADCAST_SOURCES`` rows; beyond, the joins with it shuffle.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own; repeated
 rows are separate documents; an empty table gives no rows; a rerun gives the same result.
@@ -29,9 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
-from tallyforge.llm.common import annotate
+from tallyforge.llm.common import annotate, cut
 
-MAX_SOURCES = 100_000
+#: Sources of a table that may be broadcast.
+BROADCAST_SOURCES = 100_000
 MAX_EPOCHS = 3
 #: A block has at most so many words, and a source so many blocks if its target has as many words.
 BLOCK_WORDS, SLOTS = 8192, 1000
@@ -65,32 +67,56 @@ def targets(source_sizes: dict[str | None, int], max_epochs: int = MAX_EPOCHS) -
     return out
 
 
-def block_words(words: int) -> int:
-    """Words in a block of a source whose target is ``words``: fewer in small sources, so that each has slots enough."""
-    return max(1, min(BLOCK_WORDS, words // SLOTS))
+def _ordered(sources: DataFrame, value: str) -> tuple[DataFrame, int]:
+    """The stored table (part, i) with ``before``, the sum of ``value`` in all rows before, and the whole sum; one number a partition comes to the driver."""
+    sums, total, bases = {r["part"]: r["n"] for r in sources.groupBy("part").agg(F.sum(value).alias("n")).collect()}, 0, []
+    for part in sorted(sums):
+        bases.append((part, total))
+        total += sums[part]
+    held = sources.sparkSession.createDataFrame(bases, "part int, _base bigint")
+    inside = Window.partitionBy("part").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each partition of the sources, so it is small.
+    return sources.join(F.broadcast(held), "part").withColumn("before", F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_base"), total
 
 
-_PLAN = "_source string, source_size bigint, target double, low bigint, high bigint, words bigint, blocks bigint, need bigint, first bigint, rest bigint"
+def _plan(sized: DataFrame, max_epochs: int) -> tuple[DataFrame, int]:
+    """The sources with their targets, parts of the point range, words in a block, blocks, slots and words of the last epoch; slots.
 
-
-def _plan(spark: SparkSession, sized: DataFrame, max_epochs: int) -> tuple[DataFrame, int]:
-    """The sources with their targets, parts of the point range, words in a block, blocks, slots and words of the last epoch; slots."""
-    got = sized.groupBy("_source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(got) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    size = {r["_source"]: r["n"] for r in got}
-    rows, slots = [], 0
-    for s, want in targets(size, max_epochs).items():
-        take = min(round(want), max_epochs * size[s])
-        words = block_words(take)
-        blocks = -(-size[s] // words)
-        epochs, rest = divmod(take, max(1, size[s]))
-        need = epochs * blocks + -(-rest // words)
-        rows.append((s, size[s], want, words, blocks, need, slots, rest))
-        slots += need
-    point = lambda at: (at << 32) // max(1, slots)
-    rows = [(s, n, want, point(first), point(first + need), words, blocks, need, first, rest) for s, n, want, words, blocks, need, first, rest in rows]
-    return spark.createDataFrame(rows, _PLAN), slots
+    ``targets`` says the same of a table in memory: a source is full if the share of one unit of weight would give it more than its
+    stop, and shares only grow, so each round sums what full sources take and what weight is left, until no more are full.
+    """
+    totals = sized.groupBy("_source").agg(F.sum("size").alias("source_size"), F.lit(1).cast("long").alias("one"))
+    # Numbered in order: by partition of the sort, and by place inside.
+    placed = totals.orderBy(F.asc_nulls_last("_source")).withColumn("_id", F.monotonically_increasing_id())
+    sources = cut(placed.select("_source", "source_size", "one", F.shiftright("_id", 33).cast("int").alias("part"), "_id").withColumn("i", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"))
+    sources, n = _ordered(sources, "one")
+    sources = cut(sources.withColumn("weight", 1 + F.col("before") % 3).drop("before", "one"))
+    stop = max_epochs * F.col("source_size")
+    whole = sources.agg(F.sum("source_size").alias("n")).first()["n"] or 0
+    left, share = float(whole), None
+    while n:
+        open_ = F.lit(True) if share is None else ~(F.lit(share) * F.col("weight") > stop)
+        got = sources.agg(F.coalesce(F.sum(F.when(open_, F.col("weight"))), F.lit(0)).alias("weight"), F.coalesce(F.sum(F.when(~open_, stop)), F.lit(0)).alias("full")).first()
+        new = (left - got["full"]) / got["weight"] if got["weight"] else math.inf
+        if new == share or not got["weight"]:
+            share = new
+            break
+        share = new
+    want = F.when(F.lit(share or 0.0) * F.col("weight") > stop, stop.cast("double")).otherwise(F.lit(share or 0.0) * F.col("weight"))
+    sources = sources.withColumn("target", want)
+    take = F.least(F.round("target").cast("long"), stop)
+    sources = sources.withColumn("_take", take).withColumn("words", F.greatest(F.lit(1).cast("long"), F.least(F.lit(BLOCK_WORDS).cast("long"), F.floor(F.col("_take") / SLOTS))))
+    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / F.col("words"))).withColumn("rest", F.col("_take") % F.greatest(F.lit(1).cast("long"), F.col("source_size")))
+    epochs = F.floor(F.col("_take") / F.greatest(F.lit(1).cast("long"), F.col("source_size")))
+    sources = cut(sources.withColumn("need", epochs * F.col("blocks") + F.ceil(F.col("rest") / F.col("words"))))
+    sources, slots = _ordered(sources, "need")
+    # Parts of the point range in whole numbers: decimals hold 2**32 times any count of slots.
+    point = lambda at: F.floor((at.cast("decimal(38,0)") * F.lit(2**32).cast("decimal(12,0)")) / F.lit(max(1, slots)).cast("decimal(20,0)")).cast("long")
+    return cut(sources.select("_source", "source_size", "target", point(F.col("before")).alias("low"), point(F.col("before") + F.col("need")).alias("high"), "words", "blocks", "need", F.col("before").alias("first"), "rest")), slots
+
+
+def _small(sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
 
 
 def _streams(sized: DataFrame, order: list[Column], buckets: int) -> DataFrame:
@@ -110,12 +136,13 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
     point = (F.col("id") % 2**31 * F.lit(STEP)) % 2**32
     tasks = max(1, math.ceil(slots / RANGE_SLOTS))
     drawn = spark.range(0, slots, 1, tasks).select("id", point.alias("point"), F.floor(F.col("id") / RANGE_SLOTS).alias("part"))
-    parts = F.broadcast(sources.where(F.col("source_size") > 0))
-    # One equality (a constant band of points) turns the range condition into a hash join.
-    bands = 1024
-    low, high = F.shiftright("low", 22), F.shiftright(F.col("high") - 1, 22)
-    parts = parts.where(F.col("high") > F.col("low")).withColumn("band", F.explode(F.sequence(low, F.least(high, F.lit(bands - 1).cast("long")))))
-    drawn = drawn.withColumn("band", F.shiftright("point", 22)).join(F.broadcast(parts), "band").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    # One equality (a band of points, of which there are as many as sources) turns the range condition into a hash join.
+    bits = max(10, min(31, sources.count().bit_length()))
+    low, high = F.shiftright("low", 32 - bits), F.shiftright(F.col("high") - 1, 32 - bits)
+    parts = sources.where((F.col("source_size") > 0) & (F.col("high") > F.col("low"))).withColumn("band", F.explode(F.sequence(low, F.least(high, F.lit(2**bits - 1).cast("long")))))
+    # A source has a part for each band that it reaches into: at most as many as there are bands and sources.
+    parts = F.broadcast(parts) if sources.count() <= BROADCAST_SOURCES else parts
+    drawn = drawn.withColumn("band", F.shiftright("point", 32 - bits)).join(parts, "band").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
     counts = drawn.groupBy("_source", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(F.col("_source").alias("_s"), F.col("part").alias("_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), "n")
@@ -134,7 +161,7 @@ def schedule(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
 
 def pieces(placed: DataFrame, sources: DataFrame) -> DataFrame:
     """Each document's parts by block of its source's stream; a document without words has one part without a block."""
-    words = F.broadcast(sources.select(F.col("_source").alias("_s"), F.col("words").alias("_w")))
+    words = _small(sources.select(F.col("_source").alias("_s"), F.col("words").alias("_w")))
     placed = placed.join(words, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
     first, last = F.floor(F.col("_at") / F.col("_w")), F.floor((F.col("_at") + F.col("size") - 1) / F.col("_w"))
     out = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
@@ -151,28 +178,40 @@ def mix(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id",
     """The mix as (slots, taken).
 
     ``slots``: slot, epoch, source, document id and the words start..stop of it that stand there, in slot order by place.
-    ``taken``: every document with size, source_size, target and the words that the mix takes of it, repeats counted.
+    ``taken``: every document with size, source_size, target, the words that the mix takes of it, repeats counted, and the
+    slot of the mix where it stands first (null if it takes none).  ``write_mix`` lays the slots out in order.
     """
     spark, keep = docs.sparkSession, list(dict.fromkeys([id_col, *(keep or [])]))
-    keep = [c for c in keep if c not in ("size", "source_size", "target", "taken")]
-    sized = _prepare(docs, keep, text, source)
-    sources, slots = _plan(spark, sized, max_epochs)
+    keep = [c for c in keep if c not in ("size", "source_size", "target", "taken", "mix_source", "first_slot")]
+    # Texts are read and their words counted once; from here on only sizes move.
+    sized = cut(_prepare(docs, keep, text, source))
+    sources, slots = _plan(sized, max_epochs)
     buckets = max(1, math.ceil(sized.count() / BUCKET_ROWS))
     placed = _streams(sized, [F.col(id_col), F.col("_source")], buckets)
     plan, parts = schedule(spark, sources, slots), pieces(placed, sources)
     filled = parts.where(F.col("block").isNotNull()).join(plan, (parts["block"] == plan["block"]) & parts["_source"].eqNullSafe(plan["_source"]))
     filled = filled.withColumn("stop", F.least("stop", F.col("until") - F.col("_at"))).where(F.col("start") < F.col("stop"))
     filled = filled.select("slot", "epoch", parts["_source"].alias("source"), id_col, "start", "stop", F.col("_at").alias("stream_at"))
-    uses = plan.groupBy("_source", "block").agg(F.count("*").alias("_uses"), F.max("until").alias("_until")).select(F.col("_source").alias("_s"), F.col("block").alias("_b"), "_uses", "_until")
+    uses = plan.groupBy("_source", "block").agg(F.count("*").alias("_uses"), F.max("until").alias("_until"), F.min("slot").alias("_slot")).select(F.col("_source").alias("_s"), F.col("block").alias("_b"), "_uses", "_until", "_slot")
     used = parts.join(uses, parts["_source"].eqNullSafe(F.col("_s")) & (parts["block"] == F.col("_b")), "left")
     # Of a source's last block, one use may be cut.
     cut_off = F.least(F.col("stop") - F.col("start"), F.greatest(F.lit(0), F.col("_at") + F.col("stop") - F.col("_until")))
     words = (F.col("stop") - F.col("start")) * F.col("_uses") - F.when(F.col("_until").isNull(), 0).otherwise(cut_off)
-    taken = used.groupBy(*keep, "_source", "size", "_at").agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_empty"))
+    taken = used.groupBy(*keep, "_source", "size", "_at").agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"), F.min(F.when(words > 0, F.col("_slot"))).alias("first_slot"), F.sum(F.when(F.col("size") == 0, 1).otherwise(0)).alias("_empty"))
     # Documents without words share a place in the stream, so equal ones were grouped; they come back one by one.
     taken = taken.withColumn("_again", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1).cast("long"), F.col("_empty")))))
-    shares = F.broadcast(sources.select(F.col("_source").alias("_s"), "source_size", "target"))
+    shares = _small(sources.select(F.col("_source").alias("_s"), "source_size", "target"))
     taken = taken.join(shares, F.col("_source").eqNullSafe(F.col("_s")), "left")
-    return filled, taken.select(*keep, "size", "source_size", "target", "taken", F.col("_source").alias("mix_source"))
+    return filled, taken.select(*keep, "size", "source_size", "target", "taken", F.col("_source").alias("mix_source"), "first_slot")
 
 
+def write_mix(slots: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> None:
+    """Write the mix as Parquet in slot order: slot, epoch, source, document id and the words that stand there, joined by spaces.
+
+    ``id_col`` has to name each document apart.  Only the documents that the mix takes are joined; the order is one range sort.
+    """
+    words = F.split(F.regexp_replace(F.col("_text"), "^[\\x20\\x09-\\x0D]+", ""), "[\\x20\\x09-\\x0D]+")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    filled = slots.withColumnRenamed(id_col, "_id").join(texts, "_id").withColumn("words", F.concat_ws(" ", F.slice(words, F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))))
+    laid = filled.select("slot", "epoch", "source", F.col("_id").alias(id_col), "start", "stop", "stream_at", "words")
+    laid.repartitionByRange("slot").sortWithinPartitions("slot", "stream_at").write.parquet(path)

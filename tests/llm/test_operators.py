@@ -255,6 +255,35 @@ def test_mix(docs, empty):
     assert mixing.targets({"a": 100, "b": 1, None: 0}) == {"a": 98.0, "b": 3.0, None: 0.0}
 
 
+def test_taken_words_recomputed_from_the_slots(docs, monkeypatch, tmp_path):
+    slots, taken = mixing.mix(docs.withColumn("taken", F.lit("clash")).withColumn("_row", F.monotonically_increasing_id()), keep=["_row", "taken"], id_col="_row")
+    of = {}
+    for r in slots.collect():
+        assert 0 <= r["start"] < r["stop"]
+        of[r["_row"]] = of.get(r["_row"], 0) + r["stop"] - r["start"]
+    rows = taken.collect()
+    assert {r["_row"]: r["taken"] for r in rows if r["taken"]} == of
+    first = {}
+    for r in slots.collect():
+        first[r["_row"]] = min(r["slot"], first.get(r["_row"], r["slot"]))
+    assert {r["_row"]: r["first_slot"] for r in rows if r["first_slot"] is not None} == first
+    # Written in order, the mix has just those words.
+    path = str(tmp_path / "mix")
+    mixing.write_mix(slots, docs.withColumn("_row", F.monotonically_increasing_id()), path, id_col="_row")
+    whole = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in enumerate(texts(docs))}
+    laid = docs.sparkSession.read.parquet(path).collect()
+    assert len(laid) == slots.count() and all(r["words"].split(" ") == whole[r["_row"]][r["start"] : r["stop"]] for r in laid)
+    sizes = {}
+    for r in rows:
+        sizes[r["mix_source"]] = sizes.get(r["mix_source"], 0) + r["size"]
+    want = mixing.targets(sizes)
+    assert all(abs(r["target"] - want[r["mix_source"]]) < 1e-6 for r in rows)
+    # The same where the sources are too many to broadcast.
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    again = mixing.mix(docs.withColumn("_row", F.monotonically_increasing_id()), keep=["_row"], id_col="_row")[1].collect()
+    assert sorted((r["_row"], r["taken"]) for r in again) == sorted((r["_row"], r["taken"]) for r in rows)
+
+
 def test_mix_of_huge_and_tiny_sources(spark, tmp_path):
     rows = [(i, "w " * 10_000, None, f"huge{i % 3}", None) for i in range(45)] + [(100 + i, "w " * (4 + i), None, f"tiny{i}", None) for i in range(30)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "m"))
@@ -354,7 +383,7 @@ def test_pipeline_stages(spark, tmp_path):
     rows = corpus_pipeline.run(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert rows and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
-    assert set(rows[0].asDict()) == {*docs.columns, "mix_size", "mix_target", "mix_taken"}
+    assert set(rows[0].asDict()) == {*docs.columns, "mix_size", "mix_target", "mix_taken", "mix_slot"}
     sets = [frozenset(neardup.shingle_set(r["text"]).tolist()) for r in rows]
     for i, a in enumerate(sets):
         assert all(len(a & b) < 0.8 * len(a | b) for b in sets[:i])
