@@ -40,7 +40,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of which the mix takes any word, with the words it takes (repeats counted)."""
-    added = {"size": "mix_size", "target": "mix_target", "taken": "mix_taken"}
+    added = {"size": "mix_size", "target": "mix_target", "taken": "mix_taken", "first_slot": "mix_slot"}
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added.values()])
     row = fresh(docs, "_row")
     taken = mixing.mix(numbered(docs, row), keep=[row])[1].where(F.col("taken") > 0)
