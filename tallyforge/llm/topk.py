@@ -5,11 +5,13 @@ of (component, +) with its impact if that component is positive, and of (compone
 component asks for the + list, with a negative one for the - list: there products are positive, and a list's
 largest impact times the query's weight bounds what its term adds.  What the opposite lists hold takes away, so it never lifts a bound.
 
-About ``SHARD_ROWS`` candidates are a shard with postings of its own.  For each query, its terms are sorted by their bounds; the longest
+About ``SHARD_ROWS`` candidates are a shard with postings of its own; as half of all vectors may stand in a list, both lists of a
+component are one array of signed impacts by row.  For each query, its terms are sorted by their bounds; the longest
 run of the smallest bounds whose sum stays below the current k-th score is non-essential.  A vector that only
-non-essential lists hold can't enter the result.  So only the essential lists are traversed, and add up what each of their vectors gains at
-most; vectors whose gain and the bounds left can't reach the k-th score leave.  The others are probed, first for what the essential
-components take away, then for the non-essential terms from the largest bound down, while they stay competitive.
+non-essential lists hold can't enter the result.  So only the essential components' lists are traversed, term by term, for all queries
+of a block together: a matrix product of weights (non-essential ones are zero) and postings, in floating point where that is exact.
+Vectors whose sum and the bounds left can't reach the k-th score leave; the others are probed
+for the non-essential terms, from the largest bound down, while they stay competitive.
 
 The k-th score begins with that of a few vectors of high impact.  It is carried from shard to shard inside a task, as k
 vectors that reached it elsewhere make every lower score useless.  Shards give k rows a query at most; a window over queries merges them.
@@ -21,7 +23,7 @@ Defined results: null ids or vectors, and vectors that are empty or hold null or
 of another length than the query's are no candidates for it; ties go to the smaller id; rows that repeat an id and vector are
 each candidates, except that a query's own id is none; query rows that repeat an id and vector are one query, and those that share
 an id only are ranked apart, under the same ``query_id``.  Components and scores beyond 64 bits become the nearest 64-bit integer;
-products are computed exactly before.
+sums are exact before that.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ K_BEST = 5
 #: Bytes of query vectors in one broadcast, and candidates in a shard.
 QUERY_BYTES = 32 << 20
 SHARD_ROWS = 4096
-#: Terms probed at once.
-PROBE = 8
+#: Terms probed, and queries whose essential lists are traversed, at once.
+PROBE, TOGETHER = 8, 1024
 _LOW, _HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -53,54 +55,50 @@ def quantised(vector: Column) -> Column:
 
 
 class Shard:
-    """Postings of some vectors: by component and sign, the rows that hold it and their impacts."""
+    """Postings of some vectors: by component, signed impacts by row, and the largest of either sign."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors, self.wide = ids, vectors, None
-        self.postings = []
-        for sign in (1, -1):
-            rows = [np.flatnonzero(c * sign > 0) for c in vectors.T]
-            self.postings.append([(r, c[r]) for r, c in zip(rows, vectors.T, strict=True)])
+        self.ids, self.vectors, self.impacts, self.wide = ids, vectors, np.ascontiguousarray(vectors.T), None
         self.most, self.least = np.maximum(vectors.max(0), 0), np.minimum(vectors.min(0), 0)
         self.size = max(int(self.most.max()), -int(self.least.min()))
         self.seeds = [np.argsort(-vectors * sign, axis=0, kind="stable")[:32] for sign in (1, -1)]
 
-    def best(self, query_id: int, query: np.ndarray, k: int, floor: int = _LOW) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own, of those that score ``floor`` at least."""
-        if self.size * max(int(query.max()), -int(query.min())) * len(query) >= 1 << 62:
-            return self._wide_best(query_id, query, k)
-        minus = (query < 0).astype(np.int64)
-        bound = np.where(query > 0, query * self.most, query * self.least)
-        order = np.argsort(bound, kind="stable")
-        rising = np.cumsum(bound[order])
-        seeds = np.unique(np.concatenate([self.seeds[minus[d]][:, d] for d in order[-4:]]))
-        seeds = seeds[self.ids[seeds] != query_id]
-        kth = max(floor, self._kth(self.vectors[seeds] @ query, k))
-        free = int(np.searchsorted(rising, kth, "left")) if kth > _LOW else 0
-        slight, essential = order[:free], order[free:]
-        if len(slight) == len(order):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        gain, held = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
-        for d in essential.tolist():
-            rows, impacts = self.postings[minus[d]][d]
-            if query[d]:
-                gain[rows] += query[d] * impacts
-                held[rows] = True
-        # Rows that no essential list holds score what slight terms add at most; they matter while the k-th score doesn't pass that.
-        rest = int(rising[free - 1]) if free else 0
-        rows = np.flatnonzero((gain + rest >= kth) & (held | (rest >= kth)) & (self.ids != query_id))
-        total = gain[rows]
-        for at in range(0, len(essential), PROBE):
-            part = essential[len(essential) - at - PROBE if len(essential) > at + PROBE else 0 : len(essential) - at]
-            total = total + np.where(self.vectors[rows][:, part] * query[part] < 0, self.vectors[rows][:, part] * query[part], 0).sum(1)
-            stay = total + rest >= kth
-            rows, total = rows[stay], total[stay]
-        while len(slight):
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query (a row), its place, and ids and scores of the k best rows but its own of those that score its floor at least."""
+        limit = self.size * max(int(queries.max()), -int(queries.min())) * queries.shape[1]
+        if limit >= 1 << 53:
+            for i, q in enumerate(queries):
+                yield i, *self._wide_best(int(query_ids[i]), q, k)
+            return
+        kind = np.float32 if limit < 1 << 24 else np.float64
+        bound = np.where(queries > 0, queries * self.most, queries * self.least)
+        order = np.argsort(bound, axis=1, kind="stable")
+        rising = np.cumsum(np.take_along_axis(bound, order, 1), 1)
+        kth = floors.copy()
+        for i in np.flatnonzero(floors == _LOW).tolist():
+            seeds = np.unique(np.concatenate([self.seeds[int(queries[i, d] < 0)][:, d] for d in order[i, -4:].tolist()]))
+            kth[i] = self._kth(self.vectors[seeds[self.ids[seeds] != query_ids[i]]] @ queries[i], k)
+        free = (rising < kth[:, None]).sum(1)
+        weights = queries.astype(kind)
+        np.put_along_axis(weights, order, np.where(np.arange(queries.shape[1]) < free[:, None], 0, np.take_along_axis(weights, order, 1)), 1)
+        rest = np.where(free > 0, rising[np.arange(len(free)), free - 1], 0)
+        total = weights @ self.impacts.astype(kind)
+        # Rows that no essential list holds have sum 0, and stay only while the slight terms alone could reach the k-th score.
+        hits = (total >= (kth.astype(np.float64) - rest).astype(kind)[:, None]) & (self.ids != query_ids[:, None])
+        for i in np.flatnonzero(hits.any(1)).tolist():
+            rows = np.flatnonzero(hits[i])
+            yield i, *self._probe(queries[i], rows, total[i, rows].astype(np.int64), order[i, : free[i]], rising[i], int(kth[i]), k)
+
+    def _probe(self, query: np.ndarray, rows: np.ndarray, total: np.ndarray, slight: np.ndarray, rising: np.ndarray, kth: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        while True:
+            if len(rows) > 4 * k:
+                kth = max(kth, self._kth(total + self._worst(query, slight), k))
+                stay = total + (int(rising[len(slight) - 1]) if len(slight) else 0) >= kth
+                rows, total = rows[stay], total[stay]
+            if not len(slight):
+                break
             part, slight = slight[-PROBE:], slight[:-PROBE]
-            total = total + self.vectors[rows][:, part] @ query[part]
-            kth = max(kth, self._kth(total + self._worst(query, slight), k))
-            stay = total + (int(rising[len(slight) - 1]) if len(slight) else 0) >= kth
-            rows, total = rows[stay], total[stay]
+            total = total + query[part] @ self.impacts[part][:, rows]
         keep = np.lexsort((self.ids[rows], -total))[:k]
         return self.ids[rows][keep], total[keep]
 
@@ -122,17 +120,22 @@ class Shard:
         return int(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else _LOW
 
 
-def _blocks(queries: DataFrame, limit: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    ids, vectors, used = [], [], 0
+def _blocks(queries: DataFrame, limit: int) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Blocks of queries: for each length of vectors their places in the block, ids and vectors as a matrix."""
+    held, used = [], 0
+
+    def made() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        sizes = np.array([len(v) for _, v in held])
+        return [(own, np.array([held[i][0] for i in own], np.int64), np.array([held[i][1] for i in own])) for own in (np.flatnonzero(sizes == n) for n in np.unique(sizes))]
+
     for q in queries.toLocalIterator():
-        ids.append(q[0])
-        vectors.append(np.array(q[1], np.int64))
-        used += vectors[-1].nbytes
+        held.append((q[0], np.array(q[1], np.int64)))
+        used += held[-1][1].nbytes
         if used >= limit:
-            yield ids, vectors
-            ids, vectors, used = [], [], 0
-    if ids:
-        yield ids, vectors
+            yield made()
+            held, used = [], 0
+    if held:
+        yield made()
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K_BEST, id_col: str = "vec_id", vector: str = "embedding", query_bytes: int = QUERY_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -151,23 +154,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = K_BEST, id_col: str =
                 lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
                 ids, flat = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False)
                 begins = np.cumsum(lengths) - lengths
-                for size in np.unique(lengths).tolist():
-                    own = np.flatnonzero(lengths == size)
-                    shard = Shard(ids[own], flat[begins[own][:, None] + np.arange(size)])
-                    out: tuple[list, list, list, list] = ([], [], [], [])
-                    for i, (q, v) in enumerate(zip(*shared.value, strict=True)):
-                        if len(v) == size:
-                            had = seen.get(i)
-                            got, scores = shard.best(q, v, k, int(had[-1]) if had is not None and len(had) == k else _LOW)
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for places, query_ids, matrix in shared.value:
+                    own = np.flatnonzero(lengths == matrix.shape[1])
+                    if not len(own):
+                        continue
+                    shard = Shard(ids[own], flat[begins[own][:, None] + np.arange(matrix.shape[1])])
+                    # Sums of TOGETHER queries and a shard's rows are held at a time.
+                    for at in range(0, len(places), TOGETHER):
+                        some = places[at : at + TOGETHER].tolist()
+                        floors = np.array([had[-1] if (had := seen.get(p)) is not None and len(had) == k else _LOW for p in some], np.int64)
+                        for i, got, scores in shard.best(query_ids[at : at + TOGETHER], matrix[at : at + TOGETHER], k, floors):
                             if len(got):
-                                seen[i] = scores if had is None else np.sort(np.concatenate([had, scores]))[::-1][:k]
-                                for x, y in zip(out, (np.full(len(got), q), np.full(len(got), before + i), got, scores), strict=True):
+                                had = seen.get(some[i])
+                                seen[some[i]] = scores if had is None else np.sort(np.concatenate([had, scores]))[::-1][:k]
+                                for x, y in zip(out, (np.full(len(got), query_ids[at + i]), np.full(len(got), before + some[i]), got, scores), strict=True):
                                     x.append(y)
-                    if out[0]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "_q", id_col, "score"])
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], names=["query_id", "_q", id_col, "score"])
 
         hits = rows.mapInArrow(run, f"query_id bigint, _q bigint, `{id_col}` bigint, score bigint")
-        found, before = hits if found is None else found.unionByName(hits), before + len(block[0])
+        found, before = hits if found is None else found.unionByName(hits), before + sum(len(x[0]) for x in block)
     if found is None:
         return vectors.sparkSession.createDataFrame([], f"query_id bigint, rank int, `{id_col}` bigint, score bigint")
     best = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc(id_col))
