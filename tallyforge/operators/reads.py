@@ -11,15 +11,25 @@ MOST_MONTHS = 720
 
 
 def ledger_filter(rows: DataFrame, **wanted) -> DataFrame:
-    """Rows that meet every wanted thing: account, category, direction (in, out), start, end, text, least and most (absolute cents)."""
-    size, low = F.abs("amount"), F.lower("raw_description")
+    """Rows that meet every wanted thing: account, category, leg, role, direction (in, out), start, end, text, least and most (absolute cents), review.
+
+    ``text`` is looked for in any case of A-Z; ``%`` and ``_`` in it stand for any text and any character.  ``review`` is the table of
+    review items: rows that are the subject of any.
+    """
+    size, upper, lower = F.abs("amount"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    low = F.translate("raw_description", upper, lower)
+    under = wanted.pop("review", None)
+    if under is not None:
+        rows = rows.join(under.select(F.col("subject").alias("external_id")), "external_id", "left_semi")
     tests = {
         "account": lambda v: F.col("account_ref") == v,
         "category": lambda v: F.col("category") == v,
         "direction": lambda v: F.col("amount") < 0 if v == "out" else F.col("amount") > 0,
         "start": lambda v: F.col("date") >= F.lit(v).cast("date"),
         "end": lambda v: F.col("date") <= F.lit(v).cast("date"),
-        "text": lambda v: low.contains(v.lower()),
+        "leg": lambda v: F.col("leg") == v,
+        "role": lambda v: F.col("role") == v,
+        "text": lambda v: low.like(f"%{v.lower()}%"),
         "least": lambda v: size >= v,
         "most": lambda v: size <= v,
     }
@@ -37,6 +47,12 @@ def ledger_page(rows: DataFrame, sort: str = "date", ascending: bool = False, li
     return ledger_filter(rows, **wanted).orderBy(by, key).offset(max(0, offset)).limit(min(1000, max(1, limit)))
 
 
+def scans(rows: DataFrame) -> DataFrame:
+    """Count and net of the scans of the current rows: transactions, rows that aren't postings, and synthetic legs."""
+    kind = F.when(F.col("synthetic"), "synthetic").when(F.col("role") == "noop", "noops").otherwise("transactions")
+    return rows.groupBy(kind.alias("scan")).agg(F.count("*").alias("rows"), F.sum("amount").alias("net"))
+
+
 def fingerprint(rows: DataFrame, columns: list[str], by: str) -> DataFrame:
     """Count and sum of row hashes by group, which any order and partitioning of the rows leave alike."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])

@@ -31,6 +31,8 @@ _BAL = f"with bal as ({bridge.BALANCED})"
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are called {name}")
         QUERIES[name] = f
         if sql:
             SQL[name] = sql
@@ -48,8 +50,6 @@ _over("month_category_net", bridge.fact, lambda f: ledger.categorised(f).groupBy
 _over("category_rules", bridge.fact, lambda f: ledger.categorised(f).select("n", "category"), _FACT + f" select n, {_CATEGORY} as category from fact")
 _over("workbook_coverage", bridge.fact, lambda f: ledger.stemmed(ledger.categorised(f)).groupBy("category").agg(F.count("*").alias("hits"), F.countDistinct("stem").alias("merchants"), F.sum("amount").alias("total"), F.min("date").alias("first"), F.max("date").alias("last")),
       _FACT + f" select {_CATEGORY} as category, count(*) as hits, count(distinct stem) as merchants, cast(sum(amount) as bigint) as total, min(date) as first, max(date) as last from stemmed group by 1")
-_over("ledger_page", bridge.fact, lambda f: f.where((F.col("account_ref") == "acct-4") & (F.abs("amount") >= 1000) & F.lower("raw_description").contains("merchant")).orderBy(F.desc("date"), "n").limit(50),
-      _FACT + " select * from fact where account_ref = 'acct-4' and abs(amount) >= 1000 and lower(raw_description) like '%merchant%' order by date desc, n limit 50")
 _over("account_totals", bridge.fact, lambda f: f.groupBy("account_ref").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("facts"), F.sum("amount").alias("net")),
       _FACT + " select account_ref, min(date) as first, max(date) as last, count(*) as facts, cast(sum(amount) as bigint) as net from fact group by 1")
 _over("account_frontier", bridge.fact, lambda f: f.where(F.col("date") <= F.lit("1998-06-30").cast("date")).groupBy("account_ref").agg(F.max("date").alias("frontier")),
@@ -288,8 +288,11 @@ query("stream_ingest", "select event_id as n, event_type as account_ref, cast(ro
 
 
 def queries() -> dict[str, Query]:
+    from tallyforge.plans import hub_queries  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
