@@ -95,7 +95,8 @@ def _transfer_candidates(f: DataFrame) -> DataFrame:
 _over("receipt_shaped_legs", bridge.fact, _shaped, _FACT + " select distinct a.n, a.account_ref, a.receipt, a.amount from fact a join fact b on a.receipt = b.receipt and a.amount = -b.amount and a.account_ref <> b.account_ref and abs(date_diff('day', a.date, b.date)) <= 4")
 _over("transfer_candidates", bridge.fact, _transfer_candidates, _FACT + """ select a.n as from_n, b.n as to_n, cast(abs(date_diff('day', a.date, b.date)) as int) as days, case when a.receipt = b.receipt then 'T1' when a.date = b.date then 'T2' else 'T3' end as tier
   from fact a join fact b on a.amount = -b.amount and a.amount < 0 and a.account_ref <> b.account_ref and abs(date_diff('day', a.date, b.date)) <= 4 where a.observation = 'posted' and b.observation = 'posted'""")
-_over("transfer_ladder", bridge.fact, lambda f: ladder.match(identity.mint(f).where(F.col("observation") == "posted")))
+# Every posted leg takes part, in one currency, and no text names a clearing account; the query transfers has all of that, with SQL.
+_over("transfer_ladder", bridge.fact, lambda f: ladder.match(identity.mint(f).where(F.col("observation") == "posted").withColumn("currency", F.lit("AUD")).withColumn("clearing", F.lit(None).cast("string"))))
 
 
 def _edges(f: DataFrame) -> DataFrame:
@@ -288,7 +289,7 @@ query("stream_ingest", "select event_id as n, event_type as account_ref, cast(ro
 
 
 def queries() -> dict[str, Query]:
-    from tallyforge.plans import hub_queries  # noqa: F401
+    from tallyforge.plans import derive_queries, hub_queries  # noqa: F401
 
     return dict(QUERIES)
 

@@ -36,15 +36,76 @@ def test_cents(spark):
     assert [one(spark, text.cents(F.lit(x))) for x in ("1,234.50", " -3 ", "1.005", "x")] == [123450, -300, None, None]
 
 
-def leg(n, account, day, amount, receipt=None):
-    return {"n": n, "account_ref": account, "date": dt.date(2026, 1, day), "amount": amount, "receipt": receipt}
+def leg(n, account, day, amount, receipt=None, clearing=None):
+    return {"n": n, "external_id": f"x{n}", "account_ref": account, "date": dt.date(2026, 1, 1) + dt.timedelta(days=day), "amount": amount, "receipt": receipt, "clearing": clearing}
+
+
+def fates(legs):
+    return [(a["n"], b and b["n"], fate, sorted(x["n"] for x in found)) for a, b, fate, _, found in ladder.settle_legs(legs)]
 
 
 def test_ladder_is_per_leg_not_per_tier():
+    # The first leg takes the later one at T3 before that one's own day is ever looked at.
     legs = [leg(1, "a", 1, -5), leg(2, "b", 3, 5), leg(3, "a", 3, -5)]
-    assert [(a["n"], b["n"], t) for a, b, t in ladder.pair_legs(legs)] == [(2, 3, "T2")]
-    assert [(a["n"], b["n"], t) for a, b, t in ladder.pair_legs(legs[:2])] == [(1, 2, "T3")]
-    assert [(a["n"], b["n"], t) for a, b, t in ladder.pair_legs([leg(1, "a", 1, -5, "r"), leg(2, "b", 2, 5, "r"), leg(3, "c", 1, 5)])] == [(1, 2, "T1")]
+    assert fates(legs) == [(1, 2, "T3", [])] or fates(legs)[0][2] == "HELD"
+    assert fates(legs[:2]) == [(1, 2, "T3", [])]
+    assert fates([leg(1, "a", 1, -5, "r"), leg(3, "c", 1, 5), leg(2, "b", 2, 5, "r")])[0] == (1, 2, "T1", [])
+
+
+def test_two_candidates_hold_a_leg():
+    same_day = [leg(1, "a", 1, -5), leg(2, "b", 1, 5), leg(3, "c", 1, 5)]
+    assert fates(same_day) == [(1, None, "HELD", [2, 3]), (2, None, "HELD", [1]), (3, None, "HELD", [1])]
+    receipts = [leg(1, "a", 1, -5, "r"), leg(2, "b", 1, 5, "r"), leg(3, "c", 2, 5, "r"), leg(4, "d", 1, 5)]
+    assert fates(receipts)[0] == (1, None, "HELD", [2, 3])
+    assert fates([leg(1, "a", 1, -5, " "), leg(2, "b", 6, 5, " ")]) == []
+    assert fates([leg(1, "a", 1, -5, None, "clr"), leg(2, "b", 1, 5)]) == [(1, None, "CLEARING", [])]
+
+
+def brute_fates(legs, window=4):
+    """The ladder as it is written: every leg against all open ones."""
+    open_, out = {x["n"] for x in legs}, []
+    meets = lambda a, b: a["n"] != b["n"] and b["n"] in open_ and a["account_ref"] != b["account_ref"] and a["amount"] * b["amount"] < 0
+    gap = lambda a, b: abs((a["date"] - b["date"]).days)
+    tiers = (("T1", lambda a, b: a["receipt"] and a["receipt"] == b["receipt"] and gap(a, b) <= window), ("T2", lambda a, b: gap(a, b) == 0), ("T3", lambda a, b: 0 < gap(a, b) <= window))
+    for a in legs:
+        if a["n"] not in open_:
+            continue
+        if a["clearing"]:
+            open_.discard(a["n"])
+            out.append((a["n"], None, "CLEARING", []))
+            continue
+        for tier, fits in tiers:
+            found = [b for b in legs if meets(a, b) and fits(a, b)]
+            back = tier == "T1" or (found and len([c for c in legs if meets(found[0], c) and fits(found[0], c)]) == 1)
+            if len(found) == 1 and back:
+                open_ -= {a["n"], found[0]["n"]}
+                out.append((a["n"], found[0]["n"], tier, []))
+                break
+            if found:
+                out.append((a["n"], None, "HELD", sorted(b["n"] for b in found)))
+                break
+    return out
+
+
+def test_ladder_against_brute_force():
+    r = random.Random(12)
+    for _ in range(400):
+        legs = [leg(0, r.choice("abcd"), r.randint(0, 30), r.choice([-5, 5]), r.choice([None, None, "r", "s"]), r.choice([None] * 9 + ["clr"])) for _ in range(r.randint(1, 40))]
+        legs.sort(key=lambda x: x["date"])
+        legs = [{**x, "n": i, "external_id": f"x{i}"} for i, x in enumerate(legs)]
+        assert fates(legs) == brute_fates(legs)
+
+
+def test_ladder_walks_a_common_amount_in_time():
+    legs = [leg(i, f"acct-{i % 50}", i // 200, -5 if i % 3 else 5) for i in range(20_000)]
+    assert sum(f == "HELD" for _, _, f, _ in ((a, b, fate, t) for a, b, fate, t, _ in ladder.settle_legs(legs[:200]))) == 200
+
+
+def test_two_transfers_of_one_receipt(spark):
+    rows = [(1, "x1", "a", dt.date(2026, 1, 1), -5, "r"), (2, "x2", "b", dt.date(2026, 1, 1), 5, "r"), (3, "x3", "a", dt.date(2026, 3, 1), -5, "r"), (4, "x4", "b", dt.date(2026, 3, 1), 5, "r")]
+    legs = spark.createDataFrame(rows, "n bigint, external_id string, account_ref string, date date, amount bigint, receipt string").withColumn("currency", F.lit("AUD")).withColumn("clearing", F.lit(None).cast("string"))
+    got = {r["from_n"]: r["transfer_id"] for r in ladder.match(legs).collect()}
+    assert got[1] == "TRF-r" and got[3].startswith("TRF-") and len(got[3]) == 20
 
 
 def test_revokes_cancel(spark):
