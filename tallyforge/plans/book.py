@@ -129,6 +129,30 @@ TABLES["marker"] = """select concat('b', cast(b as string)) as batch, 'start' as
     from (select distinct cast(floor(o_orderkey / 100) as bigint) as b from orders) e where b % 9 <> 5"""
 TABLES["cash_book"] = "select 'acct-27' as account_ref, '2001-06' as month, cast(1234 as bigint) as unrecorded from (select 1 as one) x union all select 'acct-28', '2001-06', cast(99 as bigint) from (select 1 as one) x union all select 'acct-27', '2001-05', cast(5 as bigint) from (select 1 as one) x"
 TABLES["category_group"] = "select 'groceries' as category, 'Home' as grp from (select 1 as one) x union all select 'salary', 'Work' from (select 1 as one) x union all select 'other', ' ' from (select 1 as one) x"
+_CN = "20000000000 + cast(n_nationkey as bigint) * 100000000"
+_CO = "20000000000 + o_orderkey % 25 * 100000000"
+_CADENCE = "case n_nationkey % 8 when 0 then 'weekly' when 1 then 'fortnightly' when 2 then 'monthly' when 3 then 'bimonthly' when 4 then 'quarterly' when 5 then 'semiannual' when 6 then 'annual' else 'irregular' end"
+#: Commitments that people declare, end, declare again, pin, exclude and settle; ``match`` is the rule's regex, ``account`` its scope.
+TABLES["said_commitment"] = f"""select {_CN} + 1000000 as n, 'DECLARE' as action, concat('pay-', cast(n_nationkey as string)) as commitment_id, cast(null as string) as id, case when n_nationkey % 5 = 0 then 'in' else 'out' end as direction, {_CADENCE} as cadence,
+    case when n_nationkey % 3 = 0 then 'variable' else 'fixed' end as amount_kind, concat('merchant ', cast(n_nationkey as string), ' ') as match, case when n_nationkey % 4 = 1 then concat('acct-', cast(n_nationkey as string)) end as account,
+    cast(case when n_nationkey % 11 = 0 then null else 500 * (n_nationkey + 1) end as bigint) as amount, case when n_nationkey % 12 = 7 then null else date '1999-01-31' + cast(n_nationkey * 9 as int) end as day from nation
+  union all select {_CN} + 50000000, 'DECLARE', concat('pay-', cast(n_nationkey as string)), null, 'out', {_CADENCE}, 'fixed', case when n_nationkey % 18 = 6 then '(' else concat('merchant ', cast(n_nationkey + 10 as string), ' ') end, null, cast(700 as bigint), date '2000-02-29' from nation where n_nationkey % 6 = 0
+  union all select {_CN} + 20000000, 'RETIRE', concat(case when n_nationkey % 8 = 3 then 'ghost-' else 'pay-' end, cast(n_nationkey as string)), null, null, null, null, null, null, null, date '2001-03-15' from nation where n_nationkey % 6 < 2 or n_nationkey % 8 = 3
+  union all select {_CO} + (5 + o_orderkey % 60) * 1000000 + o_orderkey, 'PIN', concat('pay-', cast(o_orderkey % 28 as string)), concat(case when o_orderkey % 370 = 4 then 'nope' else 'x' end, cast(o_orderkey as string)), null, null, null, null, null, null, null from orders where o_orderkey % 37 = 4
+  union all select {_CO} + 90000000 + o_orderkey, 'UNPIN', null, concat('x', cast(o_orderkey as string)), null, null, null, null, null, null, null from orders where o_orderkey % 74 = 4
+  union all select {_CO} + 30000000 + o_orderkey, 'EXCLUDE', concat('pay-', cast(o_custkey % 40 as string)), concat('x', cast(o_orderkey as string)), null, null, null, null, null, null, null from orders where o_orderkey % 13 = 6
+  union all select {_CO} + 80000000 + o_orderkey, 'INCLUDE', concat('pay-', cast(o_custkey % 40 as string)), concat('x', cast(o_orderkey as string)), null, null, null, null, null, null, null from orders where o_orderkey % 39 = 6
+  union all select {_CN} + 60000000 + s, 'SETTLE', concat('pay-', cast(n_nationkey as string)), null, null, null, null, null, null, null, case when n_nationkey % 8 = 0 then (case when n_nationkey % 6 = 0 then date '2000-02-29' else date '1999-01-31' + cast(n_nationkey * 9 as int) end) + cast(7 * (s + 40) as int)
+      else cast((case when n_nationkey % 6 = 0 then date '2000-02-29' else date '1999-01-31' + cast(n_nationkey * 9 as int) end) + interval '1' month * cast(s as int) as date) end
+    from nation, (select distinct o_orderkey % 30 as s from orders) ss where (n_nationkey + s) % 3 = 0"""
+#: Series of charges with refunds, foreign prices and doubled days, for the detection of recurring ones.
+TABLES["charge"] = """select cast(1000000 + c_custkey * 100 + n_nationkey as bigint) as n, concat('acct-', cast(c_custkey % 30 as string)) as account_ref,
+    cast(case when c_custkey % 3 = 0 then cast(date '1999-07-31' + interval '1' month * n_nationkey as date) when c_custkey % 3 = 1 then date '2000-12-01' + cast(n_nationkey * 7 as int) else cast(date '1995-02-15' + interval '1' month * (3 * n_nationkey) as date) end as date) as date,
+    cast(case when c_custkey % 10 = 7 then 1 else -1 end * (500 + c_custkey % 50 * 10 + case when n_nationkey >= 12 then 200 else 0 end + case when c_custkey % 14 = 3 then n_nationkey * 3 else 0 end + case when c_custkey % 9 = 2 and n_nationkey = 6 then 2000 else 0 end) as bigint) as amount,
+    concat('SERIES ', cast(c_custkey as string), ' - Visa Purchase', case when c_custkey % 8 = 1 or (c_custkey % 8 = 2 and n_nationkey < 20) then concat(' Foreign Currency Amount: USD ', cast(20 + c_custkey % 7 as string), '.5') else '' end) as raw_description
+    from customer, nation where c_custkey % 10 < 8
+  union all select cast(900000000 + c_custkey * 100 + n_nationkey as bigint), concat('acct-', cast((c_custkey + 1) % 30 as string)), cast(case when c_custkey % 3 = 0 then cast(date '1999-07-31' + interval '1' month * n_nationkey as date) when c_custkey % 3 = 1 then date '2000-12-01' + cast(n_nationkey * 7 as int) else cast(date '1995-02-15' + interval '1' month * (3 * n_nationkey) as date) end as date) + cast(c_custkey % 4 as int),
+    cast(case when n_nationkey = 3 then 300 when n_nationkey = 4 then 900 + c_custkey % 5 * 300 else -40 end as bigint), concat('SERIES ', cast(c_custkey as string), ' - Visa Purchase') from customer, nation where c_custkey % 4 = 0 and n_nationkey in (3, 4, 9)"""
 _BASE = ("orders", "customer", "nation")
 
 

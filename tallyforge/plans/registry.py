@@ -289,7 +289,7 @@ query("stream_ingest", "select event_id as n, event_type as account_ref, cast(ro
 
 
 def queries() -> dict[str, Query]:
-    from tallyforge.plans import derive_queries, hub_queries  # noqa: F401
+    from tallyforge.plans import commitment_queries, derive_queries, hub_queries  # noqa: F401
 
     return dict(QUERIES)
 
