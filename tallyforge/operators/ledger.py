@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.text import clean, similar, stem, tokens
+from tallyforge.functions.text import clean, stem
 
 #: (category, condition tree), tried in order; the first that holds gives the category.
 RULES = [
@@ -59,32 +59,19 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def dedup_outcomes(rows: DataFrame) -> DataFrame:
-    """Appended (a new id), Duplicate (an observation seen before) or Flagged (a known id, observed anew), in order of n."""
+    """Appended (a new id), Duplicate (the whole observation, but for where it came from, seen before) or Flagged (a known id, observed anew), in order of n."""
     seen = Window.partitionBy("external_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("external_id", "observation", "amount").orderBy("n")
+    same = Window.partitionBy("external_id", "account_ref", "date", "amount", "raw_description", "receipt", "occ", "balance", "observation").orderBy("n")
     outcome = F.when(F.row_number().over(same) > 1, "Duplicate").when(F.count("*").over(seen) > 0, "Flagged").otherwise("Appended")
     return rows.withColumn("outcome", outcome)
 
 
-def pending_settlement(facts: DataFrame, window: int, overlap: float = 0.5) -> DataFrame:
-    """Each pending row's posted candidates: same account and amount, later by at most the window, similar text."""
-    words = facts.withColumn("_t", tokens(F.col("raw_description")))
-    open_ = words.where(F.col("observation") == "pending").select("n", "account_ref", "amount", F.col("date").alias("_d"), F.col("_t").alias("_p"))
-    posted = words.where(F.col("observation") == "posted").select(F.col("n").alias("posted_n"), "account_ref", "amount", "date", "_t")
-    days = F.datediff("date", "_d")
-    met = open_.join(posted, ["account_ref", "amount"]).where(days.between(0, window) & similar(F.col("_p"), F.col("_t"), overlap))
-    found = met.groupBy("n").agg(F.count("*").alias("candidates"), F.min("posted_n").alias("_m"))
-    out = open_.select("n").join(found, "n", "left")
-    count = F.coalesce("candidates", F.lit(0)).cast("bigint")
-    return out.select("n", count.alias("candidates"), F.when(count == 1, F.col("_m")).alias("posted_n"), F.when(count == 1, "SETTLED").when(count > 1, "AMBIGUOUS").otherwise("OPEN").alias("state"))
-
-
 def statement_reconcile(rows: DataFrame) -> DataFrame:
-    """Balances before and after rows as signed multisets: one surplus on each side means that the statement joins up."""
+    """Balances before and after rows as signed multisets: exactly one surplus on each side means that the statement joins up."""
     ends = rows.select("account_ref", (F.col("balance") - F.col("amount")).alias("v"), F.lit(1).alias("s")).unionByName(rows.select("account_ref", F.col("balance").alias("v"), F.lit(-1).alias("s")))
     net = ends.groupBy("account_ref", "v").agg(F.sum("s").alias("s"))
     sums = net.groupBy("account_ref").agg(F.sum(F.greatest("s", F.lit(0))).cast("bigint").alias("openings"), F.sum(F.greatest(-F.col("s"), F.lit(0))).cast("bigint").alias("closings"))
-    return sums.withColumn("reconciled", (F.col("openings") <= 1) & (F.col("closings") <= 1))
+    return sums.withColumn("reconciled", (F.col("openings") == 1) & (F.col("closings") == 1))
 
 
 def chain_forks(rows: DataFrame) -> DataFrame:
@@ -117,9 +104,10 @@ def amount_outliers(rows: DataFrame, sample: int = 8) -> DataFrame:
 
 
 def duplicate_looking(rows: DataFrame, days: int = 3) -> DataFrame:
-    order = Window.partitionBy("account_ref", "stem", "amount").orderBy("date", "n")
+    """Rows of one stem and amount, whatever their accounts, that follow each other within so many days."""
+    order = Window.partitionBy("stem", "amount").orderBy("date", "n")
     gap = F.datediff("date", F.lag("date").over(order))
-    return stemmed(rows).withColumn("gap", gap).where(F.col("gap") <= days).select("n", "account_ref", "stem", "amount", "gap")
+    return stemmed(rows).where(F.col("stem") != "").withColumn("gap", gap).where(F.col("gap") <= days).select("n", "account_ref", "stem", "amount", "gap")
 
 
 def new_stems(rows: DataFrame, start: str, end: str) -> DataFrame:
@@ -148,22 +136,6 @@ def dup_clusters(rows: DataFrame, tolerance: int = 0) -> DataFrame:
     return islands.groupBy(*keys, "_i").agg(F.count("*").alias("rows"), F.min("n").alias("first_n")).where(F.col("rows") > 1).drop("_i")
 
 
-def recurring(rows: DataFrame, regular: float = 0.70) -> DataFrame:
-    """Stems with three days or more whose median gap is near a cadence, and their price steps."""
-    days = stemmed(rows).groupBy("stem", "date").agg(F.sum("amount").alias("amount"))
-    order = Window.partitionBy("stem").orderBy("date")
-    steps = days.withColumn("gap", F.datediff("date", F.lag("date").over(order))).withColumn("_before", F.lag("amount").over(order))
-    change = F.abs(F.col("amount") - F.col("_before"))
-    is_step = F.coalesce((change >= 50) | (change >= 0.05 * F.abs("_before")), F.lit(False))
-    got = steps.withColumn("_s", is_step.cast("int")).groupBy("stem").agg(F.count("*").alias("occurrences"), F.percentile("gap", 0.5).alias("median_gap"), F.sum("_s").alias("steps"), F.min("date").alias("first"), F.max("date").alias("last"), F.sum("amount").alias("cost"))
-    buckets = F.array(*[F.struct(F.abs(F.col("median_gap") - F.lit(float(b))).alias("d"), F.lit(i).alias("i"), F.lit(float(b)).alias("b")) for i, b in enumerate((7, 14, 30, 61, 91, 182, 365))])
-    near = F.array_min(buckets)
-    with_bucket = got.where(F.col("occurrences") >= 3).withColumn("bucket", near["b"]).where(near["d"] <= F.greatest(F.lit(2.0), 0.2 * near["b"]))
-    tolerance = F.greatest(F.lit(2.0), 0.2 * F.col("bucket"))
-    share = steps.where(F.col("gap").isNotNull()).join(with_bucket.select("stem", "bucket"), "stem").groupBy("stem").agg(F.avg(F.when(F.abs(F.col("gap") - F.col("bucket")) <= tolerance, 1.0).otherwise(0.0)).alias("regularity"))
-    return with_bucket.join(share, "stem").where(F.col("regularity") >= regular).select("stem", "occurrences", "median_gap", F.col("bucket").cast("int").alias("bucket"), "regularity", "steps", "first", "last", "cost")
-
-
 def occurrence_calendar(commitments: DataFrame, as_of: str, ahead: int = 92) -> DataFrame:
     """Due dates of (commitment_id, anchor, months, amount) from the anchor to ``ahead`` days after ``as_of``; months count from the anchor, so short ones clamp."""
     end = F.date_add(F.lit(as_of).cast("date"), ahead)

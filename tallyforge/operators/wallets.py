@@ -48,7 +48,7 @@ def price_steps(rows: DataFrame, least: int = 50, share: float = 0.05) -> DataFr
     """Days on which a stem's amount moves by ``least`` or by a ``share`` of the one before."""
     days = stemmed(rows).groupBy("stem", "date").agg(F.sum("amount").alias("amount"))
     moved = days.withColumn("before", F.lag("amount").over(Window.partitionBy("stem").orderBy("date")))
-    change = F.abs(F.col("amount") - F.col("before"))
+    change = F.abs(F.abs("amount") - F.abs("before"))
     return moved.where((change >= least) | (change >= share * F.abs("before"))).select("stem", "date", "before", "amount")
 
 

@@ -67,8 +67,16 @@ _MINT = _FACT + """, judged as (
   placed as (select *, case when nk then 0 else cast(row_number() over (partition by account_ref, date, amount, raw_description, nk order by n) - 1 as int) end as occ from judged),
   minted as (select *, substr(case when nk then sha256(concat_ws('|', 'nk', account_ref, date, receipt)) else sha256(concat_ws('|', 'ch', account_ref, date, amount, raw_description, occ)) end, 1, 16) as external_id from placed)"""
 _over("mint_ids", bridge.fact, lambda f: identity.mint(f).select("n", "occ", "external_id"), _MINT + " select n, occ, external_id from minted")
-_over("dedup_outcomes", bridge.fact, lambda f: ledger.dedup_outcomes(identity.mint(f)).groupBy("outcome").agg(F.count("*").alias("rows"), F.sum("n").alias("sum_n")),
-      _MINT + """, judged2 as (select n, case when row_number() over (partition by external_id, observation, amount order by n) > 1 then 'Duplicate' when row_number() over (partition by external_id order by n) > 1 then 'Flagged' else 'Appended' end as outcome from minted)
+def _offered(f: DataFrame) -> DataFrame:
+    """Rows with their ids, and some of them offered again: as they were, or with another balance."""
+    rows = identity.mint(f).withColumn("balance", F.col("balance").cast("bigint"))
+    again = rows.where(F.col("n") % 9 == 0).withColumn("balance", F.col("balance") + F.when(F.col("n") % 2 == 0, 1).otherwise(0)).withColumn("n", F.col("n") + 100000000)
+    return rows.unionByName(again)
+
+
+_over("dedup_outcomes", bridge.balanced, lambda f: ledger.dedup_outcomes(_offered(f)).groupBy("outcome").agg(F.count("*").alias("rows"), F.sum("n").alias("sum_n")),
+      _MINT.replace(bridge.FACT, bridge.BALANCED) + """, offered as (select * replace (cast(balance as bigint) as balance) from minted union all select * replace (n + 100000000 as n, cast(balance as bigint) + case when n % 2 = 0 then 1 else 0 end as balance) from minted where n % 9 = 0),
+      judged2 as (select n, case when row_number() over (partition by external_id, account_ref, date, amount, raw_description, receipt, occ, balance, observation order by n) > 1 then 'Duplicate' when row_number() over (partition by external_id order by n) > 1 then 'Flagged' else 'Appended' end as outcome from offered)
       select outcome, count(*) as rows, cast(sum(n) as bigint) as sum_n from judged2 group by 1""")
 _over("current_facts", bridge.fact, lambda f: ledger.latest(identity.mint(f), ["external_id"], "n").where(F.col("observation") == "posted").select("n", "external_id", "account_ref", "date", "amount"),
       _MINT + " select n, external_id, account_ref, date, amount from (select *, row_number() over (partition by external_id order by n desc) as r from minted) where r = 1 and observation = 'posted'")
@@ -85,10 +93,14 @@ def _shaped(f: DataFrame) -> DataFrame:
 
 
 def _transfer_candidates(f: DataFrame) -> DataFrame:
-    """Equal and opposite posted legs in two accounts within four days, by tier of their closeness."""
-    legs = f.where(F.col("observation") == "posted").withColumn("_a", F.abs("amount"))
-    out, into = legs.where(F.col("amount") < 0), legs.where(F.col("amount") > 0).select("_a", F.col("n").alias("to_n"), F.col("account_ref").alias("_acct"), F.col("date").alias("_d"), F.col("receipt").alias("_r"))
-    met = out.join(into, "_a").where((F.col("account_ref") != F.col("_acct")) & (F.abs(F.datediff("date", "_d")) <= 4))
+    """Equal and opposite posted legs in two accounts within four days, by tier of their closeness.
+
+    Days are dealt to stretches of four, so legs of a common amount meet those of their own and the neighbouring stretches only.
+    """
+    stretch = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / 4)
+    legs = f.where(F.col("observation") == "posted").withColumn("_a", F.abs("amount")).withColumn("_s", stretch)
+    out, into = legs.where(F.col("amount") < 0).withColumn("_s", F.explode(F.array(F.col("_s") - 1, F.col("_s"), F.col("_s") + 1))), legs.where(F.col("amount") > 0).select("_a", "_s", F.col("n").alias("to_n"), F.col("account_ref").alias("_acct"), F.col("date").alias("_d"), F.col("receipt").alias("_r"))
+    met = out.join(into, ["_a", "_s"]).where((F.col("account_ref") != F.col("_acct")) & (F.abs(F.datediff("date", "_d")) <= 4))
     return met.select(F.col("n").alias("from_n"), "to_n", F.abs(F.datediff("date", "_d")).alias("days"), F.when(F.col("receipt") == F.col("_r"), "T1").when(F.col("date") == F.col("_d"), "T2").otherwise("T3").alias("tier"))
 
 
@@ -127,24 +139,18 @@ def _deep_decisions(f: DataFrame) -> DataFrame:
 _over("effective_decisions_deep", bridge.fact, lambda f: decisions.effective(_deep_decisions(f)),
       _FACT + """, l as (select n, n // 101 % 8 as top, unnest(range(0, 8)) as k from fact where n % 101 = 0)
   select n + 1000000 * (k + 1) as n, case when k = 0 then 'PIN' else 'REVOKE' end as action, n + 1000000 * k as target from l where k <= top and (top - k) % 2 = 0""")
-_over("pending_settlement", bridge.fact, lambda f: ledger.pending_settlement(f, 60),
-      _FACT + """, p as (select a.n, count(b.n) as candidates, min(b.n) as m from fact a left join fact b on b.observation = 'posted' and a.account_ref = b.account_ref and a.amount = b.amount and date_diff('day', a.date, b.date) between 0 and 60
-        and len(list_intersect(list_filter(string_split(upper(a.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY')), list_filter(string_split(upper(b.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY')))) * 2
-          >= least(len(list_filter(string_split(upper(a.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY'))), len(list_filter(string_split(upper(b.raw_description), ' '), lambda x: regexp_matches(x, '^[A-Z]{3,}$') and x not in ('VISA', 'PURCHASE', 'SYDNEY'))))
-        where a.observation = 'pending' group by a.n)
-      select n, candidates, case when candidates = 1 then m end as posted_n, case when candidates = 1 then 'SETTLED' when candidates > 1 then 'AMBIGUOUS' else 'OPEN' end as state from p""")
 _over("statement_reconcile", bridge.balanced, ledger.statement_reconcile,
-      _BAL + """, net as (select account_ref, v, sum(s) as s from (select account_ref, balance - amount as v, 1 as s from bal union all select account_ref, balance, -1 from bal) group by 1, 2), t as (select account_ref, cast(sum(greatest(s, 0)) as bigint) as openings, cast(sum(greatest(-s, 0)) as bigint) as closings from net group by 1) select *, openings <= 1 and closings <= 1 as reconciled from t""")
+      _BAL + """, net as (select account_ref, v, sum(s) as s from (select account_ref, balance - amount as v, 1 as s from bal union all select account_ref, balance, -1 from bal) group by 1, 2), t as (select account_ref, cast(sum(greatest(s, 0)) as bigint) as openings, cast(sum(greatest(-s, 0)) as bigint) as closings from net group by 1) select *, openings = 1 and closings = 1 as reconciled from t""")
 _over("chain_forks", bridge.balanced, lambda f: ledger.chain_forks(f).withColumn("value", F.col("value").cast("bigint")),
       _BAL + " select account_ref, side, cast(v as bigint) as value, count(*) as rows, min(n) as first_n, max(n) as last_n from (select account_ref, 'before' as side, balance - amount as v, n from bal union all select account_ref, 'after', balance, n from bal) group by 1, 2, 3 having count(*) > 1")
 _over("opening_balances", bridge.balanced, ledger.openings, _BAL + " select account_ref, cast(arg_min(balance - amount, (date, n)) as bigint) as forward, cast(arg_max(balance, (date, n)) - sum(amount) as bigint) as backward from bal group by 1")
 _over("balance_chain_break", bridge.balanced, ledger.chain_breaks,
       _BAL + ", l as (select *, lag(balance) over (partition by account_ref order by date, n) + amount as expected from bal) select account_ref, n, date, cast(expected as bigint) as expected, cast(balance as bigint) as balance from l where expected <> balance")
 _over("new_stem", bridge.fact, lambda f: ledger.new_stems(f, "1995-02-01", "1995-12-31"), _FACT + " select stem, n, date, amount from (select *, row_number() over (partition by stem order by date, n) as r from stemmed) where r = 1 and date between date '1995-02-01' and date '1995-12-31'")
-_over("amount_outlier_p99", bridge.fact, ledger.amount_outliers,
-      _FACT + ", lim as (select stem, quantile_disc(abs(amount), 0.99) as p99 from stemmed group by 1 having count(*) >= 8) select n, stem, amount, cast(p99 as bigint) as p99 from stemmed join lim using (stem) where abs(amount) > p99")
+_over("amount_outlier_p99", bridge.fact, lambda f: ledger.amount_outliers(f.withColumn("amount", F.col("amount") * F.when(F.col("n") % 499 == 7, 3).otherwise(1)).withColumn("raw_description", F.element_at(F.split("raw_description", " "), -1))),
+      f"with fact as (select * replace (amount * case when n % 499 = 7 then 3 else 1 end as amount, split_part(raw_description, ' ', -1) as raw_description) from ({bridge.FACT})), stemmed as (select *, {_STEM} as stem from fact)" + ", lim as (select stem, quantile_disc(abs(amount), 0.99) as p99 from stemmed group by 1 having count(*) >= 8) select n, stem, amount, cast(p99 as bigint) as p99 from stemmed join lim using (stem) where abs(amount) > p99")
 _over("duplicate_looking", bridge.fact, lambda f: ledger.duplicate_looking(f, 30),
-      _FACT + ", g as (select *, cast(date_diff('day', lag(date) over (partition by account_ref, stem, amount order by date, n), date) as int) as gap from stemmed) select n, account_ref, stem, amount, gap from g where gap <= 30")
+      _FACT + ", g as (select *, cast(date_diff('day', lag(date) over (partition by stem, amount order by date, n), date) as int) as gap from stemmed where stem <> '') select n, account_ref, stem, amount, gap from g where gap <= 30")
 _over("account_silent", bridge.fact, lambda f: ledger.silent_accounts(f, "2001-09-15"),
       _FACT + """, d as (select distinct account_ref, date from fact), g as (select *, date_diff('day', lag(date) over (partition by account_ref order by date), date) as gap, row_number() over (partition by account_ref order by date desc) as r from d),
       a as (select account_ref, max(date) as last, count(*) as dates, list_sort(list(gap) filter (r <= 10 and gap is not null)) as gs from g group by 1)
@@ -152,13 +158,6 @@ _over("account_silent", bridge.fact, lambda f: ledger.silent_accounts(f, "2001-0
 _over("dup_clusters", bridge.fact, lambda f: ledger.dup_clusters(f, 5000),
       _FACT + """, m as (select *, amount < 0 as negative from stemmed), b as (select *, coalesce(amount - lag(amount) over (partition by account_ref, date, stem, negative order by amount, n) > 5000, true) as apart from m),
       i as (select *, sum(cast(apart as int)) over (partition by account_ref, date, stem, negative order by amount, n) as island from b) select account_ref, date, stem, negative, count(*) as rows, min(n) as first_n from i group by account_ref, date, stem, negative, island having count(*) > 1""")
-_over("recurring_detect", bridge.series, ledger.recurring,
-      f"with fact as ({bridge.SERIES}), day as (select {_STEM} as stem, date, cast(sum(amount) as bigint) as amount from fact group by 1, 2), s as (select *, date_diff('day', lag(date) over (partition by stem order by date), date) as gap, lag(amount) over (partition by stem order by date) as b from day)," + """
-      g as (select stem, count(*) as occurrences, quantile_cont(gap, 0.5) as median_gap, cast(sum(case when abs(amount - b) >= 50 or abs(amount - b) >= 0.05 * abs(b) then 1 else 0 end) as bigint) as steps, min(date) as first, max(date) as last, cast(sum(amount) as bigint) as cost from s group by 1 having count(*) >= 3),
-      k as (select g.*, x.bucket, row_number() over (partition by stem order by abs(median_gap - x.bucket), x.bucket) as r from g, (values (7), (14), (30), (61), (91), (182), (365)) as x(bucket)),
-      near as (select * from k where r = 1 and abs(median_gap - bucket) <= greatest(2, 0.2 * bucket)),
-      reg as (select s.stem, avg(case when abs(s.gap - near.bucket) <= greatest(2, 0.2 * near.bucket) then 1.0 else 0.0 end) as regularity from s join near using (stem) where s.gap is not null group by 1)
-      select stem, occurrences, median_gap, bucket, regularity, steps, first, last, cost from near join reg using (stem) where regularity >= 0.70""")
 _over("occurrence_calendar", bridge.series, lambda f: ledger.occurrence_calendar(f.groupBy(F.col("raw_description").alias("commitment_id")).agg(F.min("date").alias("anchor"), F.max("amount").alias("amount")).withColumn("months", F.lit(1)), "2023-06-30"),
       f"with fact as ({bridge.SERIES}), c as (select raw_description as commitment_id, min(date) as anchor, max(amount) as amount from fact group by 1), k as (select *, unnest(range(0, 40)) as k from c) select commitment_id, cast(k as int) as k, cast(anchor + interval 1 month * k as date) as due, amount from k where cast(anchor + interval 1 month * k as date) <= date '2023-06-30' + 92")
 _over("coverage_buckets", bridge.fact, ledger.coverage,
@@ -167,16 +166,6 @@ _over("coverage_buckets", bridge.fact, ledger.coverage,
       select cal.account_ref, cal.month, coalesce(facts, 0) as facts, case when cal.month < a then 'before' when cal.month > b then 'after' when facts is null then 'hole' else 'facts' end as state from cal left join m on m.account_ref = cal.account_ref and m.month = cal.month""")
 
 
-def _batches(f: DataFrame) -> DataFrame:
-    """Facts of each ingest batch: a batch has the numbers strictly between its start and end, in its account."""
-    batch = F.floor(F.col("n") / 100)
-    bounds = f.groupBy("account_ref", batch.alias("batch")).agg((F.min("n") - 1).alias("n_start"), (F.max("n") + 1).alias("n_end"))
-    met = f.join(bounds, ["account_ref"]).where((F.col("n") > F.col("n_start")) & (F.col("n") < F.col("n_end")) & (batch == F.col("batch")))
-    return met.groupBy("account_ref", "batch").agg(F.count("*").alias("facts"), F.sum("amount").alias("net"))
-
-
-_over("batch_range_join", bridge.fact, _batches,
-      _FACT + ", b as (select account_ref, cast(floor(n / 100) as bigint) as batch, min(n) - 1 as n_start, max(n) + 1 as n_end from fact group by 1, 2) select b.account_ref, b.batch, count(*) as facts, cast(sum(f.amount) as bigint) as net from b join fact f on f.account_ref = b.account_ref and f.n > b.n_start and f.n < b.n_end group by 1, 2")
 _over("export_rows", bridge.balanced, lambda f: ledger.categorised(identity.mint(f)).select("n", "date", F.col("account_ref").alias("account"), F.lit("AUD").alias("currency"), F.col("amount").alias("amount_cents"), F.col("balance").cast("bigint").alias("balance_cents"), "category", "external_id", "raw_description"),
       _MINT.replace(bridge.FACT, bridge.BALANCED) + f" select n, date, account_ref as account, 'AUD' as currency, amount as amount_cents, cast(balance as bigint) as balance_cents, {_CATEGORY} as category, external_id, raw_description from minted")
 def _counted(f: DataFrame) -> DataFrame:
@@ -196,7 +185,7 @@ _AFTER = "\n".join(x for i, x in enumerate(_CATEGORY.split("\n")) if i != 1)
 _over("reflow_diff", bridge.fact, lambda f: wallets.reflow_diff(f, ledger.RULES, ledger.RULES[1:]),
       _FACT + f", b as (select amount, {_CATEGORY} as before, {_AFTER} as after from fact) select before, after, count(*) as facts, cast(sum(amount) as bigint) as net from b where before <> after group by 1, 2")
 _over("price_steps", bridge.series, wallets.price_steps,
-      f"with fact as ({bridge.SERIES}), day as (select {_STEM} as stem, date, cast(sum(amount) as bigint) as amount from fact group by 1, 2), s as (select *, lag(amount) over (partition by stem order by date) as before from day) select stem, date, before, amount from s where abs(amount - before) >= 50 or abs(amount - before) >= 0.05 * abs(before)")
+      f"with fact as ({bridge.SERIES}), day as (select {_STEM} as stem, date, cast(sum(amount) as bigint) as amount from fact group by 1, 2), s as (select *, lag(amount) over (partition by stem order by date) as before from day) select stem, date, before, amount from s where abs(abs(amount) - abs(before)) >= 50 or abs(abs(amount) - abs(before)) >= 0.05 * abs(before)")
 _over("recurring_missing", bridge.fact, lambda f: wallets.recurring_missing(f, "1996-05", "1996-06"),
       _FACT + """, m as (select distinct stem, strftime(date, '%Y-%m') as m from stemmed where date < date '1996-07-01')
       select stem, count(*) filter (m < '1996-06') as months from m group by 1 having count(*) filter (m < '1996-06') >= 3 and bool_or(m = '1996-05') and not bool_or(m = '1996-06')""")
@@ -213,18 +202,18 @@ _over("projection_plan", bridge.fact, _plan,
       _FACT + """, e as (select n as unit_id, amount + case when n % 11 = 0 then 1 else 0 end as h from fact where n % 7 <> 0 union all select n + 100000000, amount from fact where n % 13 = 0)
       select coalesce(fact.n, e.unit_id) as unit_id, case when e.unit_id is null then 'create' when fact.n is null then 'orphan' when amount = h then 'unchanged' else 'update' end as plan from fact full join e on e.unit_id = fact.n""")
 
-def _files(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A file for each account and month of 1995, some chosen for another account and some with strange balances, and the facts of a half year."""
-    month, rows = F.month("date"), f.where(F.col("date").between("1995-01-01", "1995-12-31")).withColumn("balance", F.col("balance").cast("bigint"))
-    named = rows.withColumn("file_id", F.concat_ws("/", "account_ref", month)).withColumn("chosen", F.when(month % 4 == 1, "acct-99").when(month % 4 == 2, "acct-0").otherwise(F.col("account_ref")))
+def _all_files(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A file for each account and month of the whole table, some chosen for another account and some with strange balances, and the facts of every other half year."""
+    month, rows = F.month("date"), f.withColumn("balance", F.col("balance").cast("bigint"))
+    named = rows.withColumn("file_id", F.concat_ws("/", "account_ref", F.date_format("date", "yyyy-MM"))).withColumn("chosen", F.when(month % 4 == 1, "acct-99").when(month % 4 == 2, "acct-0").otherwise(F.col("account_ref")))
     files = named.select("file_id", "date", "amount", (F.col("balance") + F.when(month % 3 == 0, 5).otherwise(0)).alias("balance"))
-    return files, rows.where((F.col("date") < "1995-07-01") & (F.col("n") % 3 != 0)), named.select("file_id", "chosen").distinct()
+    return files, rows.where((month < 7) & (F.col("n") % 3 != 0)), named.select("file_id", "chosen").distinct()
 
 
-_over("account_guard", bridge.balanced, lambda f: guard.verdicts(*_files(f)),
-      _BAL + """, r as (select account_ref, date, n, amount, cast(balance as bigint) as balance, month(date) as m from bal where date between date '1995-01-01' and date '1995-12-31'),
-  f as (select account_ref || '/' || m as file_id, case m % 4 when 1 then 'acct-99' when 2 then 'acct-0' else account_ref end as chosen, date, amount, balance + case when m % 3 = 0 then 5 else 0 end as balance from r),
-  c as (select distinct account_ref, date, amount, balance from r where date < date '1995-07-01' and n % 3 <> 0),
+_over("account_guard_all", bridge.balanced, lambda f: guard.verdicts(*_all_files(f)),
+      _BAL + """, r as (select account_ref, date, n, amount, cast(balance as bigint) as balance, month(date) as m, strftime(date, '%Y-%m') as ym from bal),
+  f as (select account_ref || '/' || ym as file_id, case m % 4 when 1 then 'acct-99' when 2 then 'acct-0' else account_ref end as chosen, date, amount, balance + case when m % 3 = 0 then 5 else 0 end as balance from r),
+  c as (select distinct account_ref, date, amount, balance from r where m < 7 and n % 3 <> 0),
   met as (select f.file_id, c.account_ref, f.date, f.balance from f join c using (date, amount, balance)),
   op as (select file_id, min(p) as o from (select distinct file_id, balance - amount as p from f) x where not exists (select 1 from f y where y.file_id = x.file_id and y.balance = x.p) group by 1 having count(*) = 1),
   st as (select file_id, min(date) as s from f group by 1),
@@ -239,18 +228,6 @@ _over("account_guard", bridge.balanced, lambda f: guard.verdicts(*_files(f)),
       count(*) filter (ev.account_ref <> ch.chosen and fits) as k, coalesce(string_agg(ev.account_ref, ',' order by ev.account_ref) filter (ev.account_ref <> ch.chosen and fits), '') as others from ch join ev using (file_id) group by 1, 2),
   w as (select *, case when own then 'FITS' when k = 1 then 'ELSEWHERE' when not known then 'NEW' when odd then 'CONTRADICTS' else 'UNPROVEN' end as verdict from v)
   select file_id, chosen, verdict, case when verdict in ('ELSEWHERE', 'UNPROVEN') then others else '' end as others from w""")
-
-
-def _all_files(f: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A file for each account and month of the whole table, some chosen for another account and some with strange balances, and the facts of every other half year."""
-    month, rows = F.month("date"), f.withColumn("balance", F.col("balance").cast("bigint"))
-    named = rows.withColumn("file_id", F.concat_ws("/", "account_ref", F.date_format("date", "yyyy-MM"))).withColumn("chosen", F.when(month % 4 == 1, "acct-99").when(month % 4 == 2, "acct-0").otherwise(F.col("account_ref")))
-    files = named.select("file_id", "date", "amount", (F.col("balance") + F.when(month % 3 == 0, 5).otherwise(0)).alias("balance"))
-    return files, rows.where((month < 7) & (F.col("n") % 3 != 0)), named.select("file_id", "chosen").distinct()
-
-
-# No SQL: account_guard's pairs every file with every account; the tests hold this against brute force.
-_over("account_guard_all", bridge.balanced, lambda f: guard.verdicts(*_all_files(f)))
 _PAGE = ["n", "date", "account_ref", "amount", "category"]
 _over("ledger_page", bridge.fact, lambda f: reads.ledger_page(ledger.categorised(f), sort="amount", limit=200, offset=50, direction="out", start="1995-01-01", text="merchant 1", least=5000).select(*_PAGE),
       _FACT + f", k as (select *, {_CATEGORY} as category from fact) select n, date, account_ref, amount, category from k where amount < 0 and date >= date '1995-01-01' and lower(raw_description) like '%merchant 1%' and abs(amount) >= 5000 order by amount desc, n limit 200 offset 50")
