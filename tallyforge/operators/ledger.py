@@ -74,12 +74,6 @@ def statement_reconcile(rows: DataFrame) -> DataFrame:
     return sums.withColumn("reconciled", (F.col("openings") == 1) & (F.col("closings") == 1))
 
 
-def chain_forks(rows: DataFrame) -> DataFrame:
-    """Balances that two rows or more claim to begin (or end) with."""
-    ends = rows.select("account_ref", F.lit("before").alias("side"), (F.col("balance") - F.col("amount")).alias("value"), "n").unionByName(rows.select("account_ref", F.lit("after").alias("side"), F.col("balance").alias("value"), "n"))
-    return ends.groupBy("account_ref", "side", "value").agg(F.count("*").alias("rows"), F.min("n").alias("first_n"), F.max("n").alias("last_n")).where(F.col("rows") > 1)
-
-
 def openings(rows: DataFrame) -> DataFrame:
     """Opening balances from the first row forward and from the last row back."""
     order = F.struct("date", "n")

@@ -141,8 +141,6 @@ _over("effective_decisions_deep", bridge.fact, lambda f: decisions.effective(_de
   select n + 1000000 * (k + 1) as n, case when k = 0 then 'PIN' else 'REVOKE' end as action, n + 1000000 * k as target from l where k <= top and (top - k) % 2 = 0""")
 _over("statement_reconcile", bridge.balanced, ledger.statement_reconcile,
       _BAL + """, net as (select account_ref, v, sum(s) as s from (select account_ref, balance - amount as v, 1 as s from bal union all select account_ref, balance, -1 from bal) group by 1, 2), t as (select account_ref, cast(sum(greatest(s, 0)) as bigint) as openings, cast(sum(greatest(-s, 0)) as bigint) as closings from net group by 1) select *, openings = 1 and closings = 1 as reconciled from t""")
-_over("chain_forks", bridge.balanced, lambda f: ledger.chain_forks(f).withColumn("value", F.col("value").cast("bigint")),
-      _BAL + " select account_ref, side, cast(v as bigint) as value, count(*) as rows, min(n) as first_n, max(n) as last_n from (select account_ref, 'before' as side, balance - amount as v, n from bal union all select account_ref, 'after', balance, n from bal) group by 1, 2, 3 having count(*) > 1")
 _over("opening_balances", bridge.balanced, ledger.openings, _BAL + " select account_ref, cast(arg_min(balance - amount, (date, n)) as bigint) as forward, cast(arg_max(balance, (date, n)) - sum(amount) as bigint) as backward from bal group by 1")
 _over("balance_chain_break", bridge.balanced, ledger.chain_breaks,
       _BAL + ", l as (select *, lag(balance) over (partition by account_ref order by date, n) + amount as expected from bal) select account_ref, n, date, cast(expected as bigint) as expected, cast(balance as bigint) as balance from l where expected <> balance")
@@ -266,7 +264,7 @@ query("stream_ingest", "select event_id as n, event_type as account_ref, cast(ro
 
 
 def queries() -> dict[str, Query]:
-    from tallyforge.plans import commitment_queries, derive_queries, hub_queries  # noqa: F401
+    from tallyforge.plans import commitment_queries, derive_queries, egress_queries, hub_queries  # noqa: F401
 
     return dict(QUERIES)
 
