@@ -47,3 +47,20 @@ def foreign_amount(text: Column) -> Column:
     """Minor units of a foreign currency amount in the text; null if there is none."""
     value = F.regexp_extract(text, r"Foreign Currency Amount:\s*[A-Z]{3}\s*(-?\d+(\.\d+)?)", 1)
     return F.when(value != "", F.round(value.try_cast("decimal(20,6)") * 100, 0).cast("bigint"))
+
+
+def drift(shipped: Column, base: Column, current: Column) -> Column:
+    """How a configuration file stands to what was shipped and to what it was before: null is a file that isn't there."""
+    out = F.when(shipped.isNull(), "unknown").when(current.eqNullSafe(shipped), "same").when(base.isNull(), "unknown")
+    return out.when(current.eqNullSafe(base), "repo-newer").when(shipped == base, "edited-here").otherwise("both-changed")
+
+
+def risky(regex: Column) -> Column:
+    """Whether a regular expression may run away: a repeated group that repeats inside, or repeated ``.*`` side by side."""
+    nested = regex.rlike(r"\([^)]*[*+][^)]*\)[*+]|\([^)]*\{\d*,?\d*\}[^)]*\)[*+]")
+    return F.coalesce(nested | regex.rlike(r"(\.\*){2,}|(\.\+){2,}"), F.lit(False))
+
+
+def restatement(a: Column, b: Column, least: float) -> Column:
+    """Whether two texts name one thing in other words: their stems differ and their words overlap."""
+    return (stem(a) != stem(b)) & similar(tokens(a), tokens(b), least)

@@ -162,11 +162,26 @@ def sql(body: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{held}{' ' if body.lstrip().startswith(',') else ' '}{body}"
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class Book(dict[str, DataFrame]):
+    """The book's tables, and what queries derived from them and stored: a stage is derived once in an application, and read by all after it."""
+
+    stored: dict[tuple[str, str, str], object] = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.place = (spark.sparkContext.applicationId, sf_dir)
+
+    def once(self, name: str, make):
+        key = (*self.place, name)
+        if key not in self.stored:
+            self.stored[key] = make(self)
+        return self.stored[key]
+
+
+def load(spark: SparkSession, sf_dir: str) -> Book:
     """All tables of the book, unread until they are used."""
     for name in _BASE:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    out = {}
+    out = Book(spark, sf_dir)
     for name, text in TABLES.items():
         out[name] = spark.sql(text)
         out[name].createOrReplaceTempView(name)

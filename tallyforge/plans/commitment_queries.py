@@ -57,15 +57,19 @@ def ids(b: Book) -> DataFrame:
 
 
 def folded(b: Book) -> dict[str, DataFrame]:
-    return commitments.fold(cut(b["said_commitment"]), ids(b))
+    return b.once("folded", lambda b: commitments.fold(cut(b["said_commitment"]), ids(b)))
 
 
-def happened(b: Book) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+def _happened(b: Book) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
     state, rows = folded(b), cut(b["txn"])
     claimed = cut(commitments.claims(state, rows, DAY))
     return state, rows, claimed, cut(commitments.occurrences(state, claimed, rows, DAY))
 
 
+def happened(b: Book) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+    return b.once("happened", _happened)
+
+
 over("commitment_fold", FOLD + " select * from com")(lambda b: folded(b)["commitments"])
 over("commitment_pins", FOLD + " select * from pin")(lambda b: folded(b)["pins"])
 over("commitment_exclusions", FOLD + " select * from excl")(lambda b: folded(b)["exclusions"])

@@ -60,7 +60,7 @@ CUR = RES + f""", said_role as (select current_id, arg_max(action, eff.n) as act
     from newest left join said_role s on s.current_id = newest.external_id where observation = 'posted')"""
 
 
-def base(b: Book) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _base(b: Book) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Decisions in force, current ids, newest observations and current rows with their roles, stored."""
     acts = cut(derive.in_force(b["dec"]))
     facts = cut(b["obs"])
@@ -72,6 +72,18 @@ def base(b: Book) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     return acts, ids, newest, current
 
 
+def base(b: Book) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    return b.once("base", _base)
+
+
+def paired(b: Book) -> tuple:
+    return b.once("paired", _paired)
+
+
+def categorised(b: Book) -> tuple:
+    return b.once("categorised", _categorised)
+
+
 over("decisions_in_force", EFF + " select n, action, id1 from eff", True)(lambda b: derive.in_force(b["dec"]).select("n", "action", "id1"))
 over("supersession", SUP + " select f as from_id, t as to_id, n as decision_n from sup", True)(lambda b: derive.supersessions(cut(derive.in_force(b["dec"])), b["obs"])[0])
 over("supersession_without_effect", SUP + " select n as decision_n, 'unknown id' as reason from act where not ok union all select n, 'retired target' from lst where gone union all select n, 'cycle' from edge where f in (select f from ringed)", True)(
@@ -139,7 +151,7 @@ _PAIRED = _SHAPED + _CLOSE[len(CUR):] + f""", pd as (select eff.n, eff.action, r
     from pr left join (select transfer_id, from_leg as id from transfers where from_leg is distinct from clearing union select transfer_id, to_leg from transfers where to_leg is distinct from clearing) x on x.id = pr.external_id)"""
 
 
-def paired(b: Book) -> tuple:
+def _paired(b: Book) -> tuple:
     stage = base(b)
     acts, ids, newest, current = stage
     closed = _closures(b, stage)
@@ -152,7 +164,7 @@ over("leg_states", _PAIRED + " select * from legst", True)(lambda b: paired(b)[5
 over("ambiguous_transfers", _PAIRED + " select external_id, ids as candidates from fate where fate = 'HELD'", True)(lambda b: paired(b)[6])
 
 
-def categorised(b: Book) -> tuple:
+def _categorised(b: Book) -> tuple:
     stage = paired(b)
     acts, ids, _, current, _, states, _ = stage
     rows = current.join(states, "external_id", "left").withColumn("leg", F.coalesce("leg", F.lit("EXTERNAL")))

@@ -12,7 +12,7 @@ from tallyforge.operators import hub, reads
 from tallyforge.plans import book
 from tallyforge.plans.registry import query
 
-Book = dict[str, DataFrame]
+Book = book.Book
 DAY, MONTH = book.AS_OF, "2001-06"
 LOANS, REPAYMENTS, INTEREST = ["acct-8", "acct-9"], ["com-1", "com-6", "com-11"], ["com-2", "com-7", "com-12"]
 

@@ -264,7 +264,7 @@ query("stream_ingest", "select event_id as n, event_type as account_ref, cast(ro
 
 
 def queries() -> dict[str, Query]:
-    from tallyforge.plans import commitment_queries, derive_queries, egress_queries, hub_queries  # noqa: F401
+    from tallyforge.plans import commitment_queries, derive_queries, egress_queries, hub_queries, review_queries, source_queries  # noqa: F401
 
     return dict(QUERIES)
 
