@@ -31,15 +31,17 @@ def _money(c: Column) -> Column:
     return F.concat(F.when(c < 0, "-").otherwise(""), F.floor(F.abs(c) / 100).cast("string"), F.lit("."), F.lpad((F.abs(c) % 100).cast("string"), 2, "0"))
 
 
-_DATE = F.date_format("date", "dd/MM/yyyy")
-_QUOTED = F.concat(F.lit('"'), F.col("raw_description"), F.lit(', ""x"""'))
+def _date() -> Column:
+    return F.date_format("date", "dd/MM/yyyy")
+
+
 _POSTED = "n < 1000000000"
 
 
 def _ing(b: Book) -> DataFrame:
     rows = b["obs"].where(_POSTED)
     bad = (F.col("account_ref") == "acct-9") & (F.col("n") % 500 == 3)
-    line = F.concat_ws(",", F.when(bad, "31/02/2020").otherwise(_DATE), F.concat(F.lit('"'), F.col("raw_description"), F.coalesce(F.concat(F.lit(" - Receipt No "), F.when(F.trim("receipt") != "", F.col("receipt"))), F.lit("")), F.lit(', ""x"""')), F.when(F.col("amount") >= 0, _money(F.col("amount"))).otherwise(""), F.when(F.col("amount") < 0, _money(F.col("amount"))).otherwise(""), _money(F.col("balance")))
+    line = F.concat_ws(",", F.when(bad, "31/02/2020").otherwise(_date()), F.concat(F.lit('"'), F.col("raw_description"), F.coalesce(F.concat(F.lit(" - Receipt No "), F.when(F.trim("receipt") != "", F.col("receipt"))), F.lit("")), F.lit(', ""x"""')), F.when(F.col("amount") >= 0, _money(F.col("amount"))).otherwise(""), F.when(F.col("amount") < 0, _money(F.col("amount"))).otherwise(""), _money(F.col("balance")))
     path = _files(rows, line, "Date,Description,Credit,Debit,Balance")
     return _read(statements.ing_csv(rows.sparkSession, f"{path}/*/*")).drop("observation")
 
@@ -53,7 +55,7 @@ def _bw(b: Book) -> DataFrame:
     number = F.regexp_extract("account_ref", "([0-9]+)", 1).cast("int")
     debit = F.when(F.col("amount") < 0, F.when((number % 2 == 0) | ((number % 7 == 3) & (F.col("n") % 2 == 0)), _money(F.col("amount"))).otherwise(_money(-F.col("amount")))).otherwise("")
     note = F.concat(F.when(F.col("observation") == "pending", "  Authorisation Only ").otherwise(""), F.col("raw_description"))
-    line = F.concat_ws(",", F.lit("1"), F.lit("2"), _DATE, note, F.lit(""), debit, F.when(F.col("amount") > 0, _money(F.col("amount"))).otherwise(""), _money(F.col("balance")), F.lit("X"))
+    line = F.concat_ws(",", F.lit("1"), F.lit("2"), _date(), note, F.lit(""), debit, F.when(F.col("amount") > 0, _money(F.col("amount"))).otherwise(""), _money(F.col("balance")), F.lit("X"))
     path = _files(rows, line, "BSB Number,Account Number,Transaction Date,Narration,Cheque Number,Debit,Credit,Balance,Transaction Type")
     return _read(statements.bw_csv(rows.sparkSession, f"{path}/*/*"))
 
