@@ -145,7 +145,7 @@ class SuffixArray:
         self.rank[order] = np.arange(n)
 
     def common(self) -> np.ndarray:
-        """For each window's place, the common prefix of its suffix and the one before in order: Kasai's walk along all segments at once."""
+        """For each window's place, the common prefix (to WINDOW bytes) of its suffix and the one before in order: Kasai's walk along all segments at once."""
         out = np.zeros(len(self.data), np.int32)
         held = np.zeros(len(self.begin), np.int64)
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
@@ -157,7 +157,7 @@ class SuffixArray:
             q = self.order[np.maximum(slot - 1, 0)]
             paired = (slot > 0) & (self.group[q] == self.group[p])
             h = np.where(paired, np.maximum(held[live] - 1, 0), 0)
-            most = np.minimum(self.end[p] - p, self.end[q] - q)
+            most = np.minimum(np.minimum(self.end[p] - p, self.end[q] - q), WINDOW)
             run = np.flatnonzero(paired)
             while len(run):
                 a = h[run]
@@ -258,7 +258,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     """Texts compressed, for the shuffles that bring them to their segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3)
+        pack = zstandard.ZstdCompressor(1)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["_row", "_packed"])
 
