@@ -19,25 +19,59 @@ RULES = [
 ]
 
 
+#: Names that derivation gives, which no rule may.
+RESERVED = ("TRANSFER", "UNCATEGORIZED")
+
+
+def checked(categories: list[str], rules: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
+    """The rules, if categories are declared once each and none is reserved, and every rule names one of them and has a condition."""
+    for i, name in enumerate(categories):
+        if not name or not name.strip():
+            raise ValueError("a declared category is blank")
+        if name in RESERVED:
+            raise ValueError(f"{name} is reserved and can't be declared")
+        if name in categories[:i]:
+            raise ValueError(f"{name} is declared twice")
+    for i, (category, tree) in enumerate(rules, 1):
+        if category in RESERVED or category not in categories:
+            raise ValueError(f"rule {i}: {category} is {'reserved' if category in RESERVED else 'not declared'}")
+        if not tree:
+            raise ValueError(f"rule {i}: an empty condition")
+    return rules
+
+
 def condition(tree: dict) -> Column:
-    """A condition tree as a column; several keys in one node must all hold."""
+    """A condition tree as a column; several keys in one node must all hold.
+
+    ``match`` is looked for in the cleaned text, ``matchRaw`` in the text as it is; amounts are absolute, their bounds inclusive.
+    """
     parts = []
     for key, value in tree.items():
         if key in ("all", "any"):
+            if not value:
+                raise ValueError(f"{key} needs a condition")
             inner = [condition(t) for t in value]
             parts.append(reduce(lambda a, b: a & b if key == "all" else a | b, inner))
         elif key == "not":
             parts.append(~condition(value))
         elif key == "match":
             parts.append(clean(F.col("raw_description")).rlike(f"(?iu){value}"))
+        elif key == "matchRaw":
+            parts.append(F.col("raw_description").rlike(f"(?iu){value}"))
         elif key == "direction":
+            if value not in ("in", "out"):
+                raise ValueError(f"direction {value}")
             parts.append(F.col("amount") > 0 if value == "in" else F.col("amount") < 0)
         elif key == "accounts":
             parts.append(F.col("account_ref").isin(*value))
         elif key == "amountRange":
-            parts.append(F.abs("amount").between(*value))
+            least, most = value
+            if least is not None and most is not None and least > most:
+                raise ValueError(f"amounts from {least} to {most}")
+            size = F.abs("amount")
+            parts.append((F.lit(True) if least is None else size >= least) & (F.lit(True) if most is None else size <= most))
         elif key == "externalId":
-            parts.append(F.col("external_id") == value)
+            parts.append(F.col("external_id").isin(*([value] if isinstance(value, str) else value)))
         else:
             raise ValueError(f"unknown condition {key}")
     if not parts:

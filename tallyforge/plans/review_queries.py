@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import identity, text
-from tallyforge.operators import commitments, review
+from tallyforge.operators import commitments, reparse, review
 from tallyforge.plans import book, derive_queries
 from tallyforge.plans.derive_queries import _WORDS, CUR, EFF
 from tallyforge.plans.hub_queries import Book, over
@@ -67,3 +67,15 @@ over("config_drift", "select external_id, case when n % 5 = 0 then 'unknown' whe
     lambda b: b["txn"].select("external_id", text.drift(F.when(F.col("n") % 5 != 0, F.col("n") % 3), F.when(F.col("n") % 7 != 0, F.col("n") % 4), F.col("n") % 2).alias("state")))
 over("risky_regexes", r"select commitment_id, regexp_matches(m, '\([^)]*[*+][^)]*\)[*+]|\([^)]*\{\d*,?\d*\}[^)]*\)[*+]') or regexp_matches(m, '(\.\*){2,}|(\.\+){2,}') as risky from (select commitment_id, case k % 4 when 0 then '(a+)+b' when 1 then 'x.*.*y' when 2 then 'merchant [0-9]+' else '(a{2,3})*' end as m from commitment)")(
     lambda b: b["commitment"].select("commitment_id", text.risky(F.element_at(F.array(F.lit("(a+)+b"), F.lit("x.*.*y"), F.lit("merchant [0-9]+"), F.lit("(a{2,3})*")), (F.col("k") % 4 + 1).cast("int"))).alias("risky")))
+
+
+def _reread(b: Book):
+    """A file's rows, and what it has now: some with a new id, some in other words, some new, some gone."""
+    n = F.col("n")
+    rows = b["txn"].where("n % 3 = 0")
+    now = rows.where(n % 10 != 3).select(F.when(n % 10 == 6, F.concat(F.lit("new-"), "external_id")).when(n % 10 == 9, F.concat(F.lit("alike-"), "external_id")).otherwise(F.col("external_id")).alias("external_id"), "account_ref", "date", F.when(n % 50 == 0, F.col("amount") + 1).otherwise(F.col("amount")).alias("amount"), F.when(n % 10 == 9, F.concat(F.lit("SHOP "), "raw_description")).otherwise(F.col("raw_description")).alias("raw_description"), "n")
+    return reparse.diff(rows, rows.where(n % 70 == 0).select("external_id"), now)
+
+
+# No SQL: new rows take old ones one after the other; the tests hold it against the rule.
+over("reparse_diff", None)(_reread)

@@ -235,3 +235,40 @@ def test_queries_match_their_sql(spark):
         names = [c[0] for c in result.description]
         want = sorted(repr([r[names.index(c)] for c in columns]) for r in result.fetchall())
         assert sorted(repr([r[c] for c in columns]) for r in got.collect()) == want, name
+
+
+def test_rules_are_checked():
+    from tallyforge.operators import ledger
+
+    assert ledger.checked(["a"], [("a", {"match": "x"})]) == [("a", {"match": "x"})]
+    for names, rules in ((["a", "a"], []), ([" "], []), (["TRANSFER"], []), (["a"], [("b", {"match": "x"})]), (["a"], [("a", {})]), (["a"], [("UNCATEGORIZED", {"match": "x"})])):
+        with pytest.raises(ValueError):
+            ledger.checked(names, rules)
+
+
+def test_reparse_takes_each_old_row_once():
+    from tallyforge.operators import reparse
+
+    row = lambda i, text: {"id": i, "text": text, "words": text.split()}
+    before = [row("a", "SHOP ONE"), row("b", "SHOP ONE"), row("c", "OTHER")]
+    after = [row("x", "SHOP ONE"), row("y", "SHOP ONE"), row("z", "SHOP ONE"), row("w", "OTHER THING")]
+    assert list(reparse._shifts(before, after)) == [("x", "a"), ("y", "b"), ("w", "c")]
+
+
+def test_reparse_diff(spark):
+    from tallyforge.operators import reparse
+
+    day, names = dt.date(2026, 1, 1), "external_id string, account_ref string, date date, amount bigint, raw_description string"
+    facts = spark.createDataFrame([("a", "x", day, 5, "SHOP ONE"), ("b", "x", day, 5, "SHOP ONE"), ("c", "x", day, 5, "OTHER"), ("d", "x", day, 7, "KEPT"), ("e", "x", day, 8, "GONE"), ("f", "x", day, 9, "CLOSED")], names)
+    now = spark.createDataFrame([("d", "x", day, 7, "KEPT", 0), ("p", "x", day, 5, "SHOP ONE", 1), ("q", "x", day, 5, "OTHER THING", 2), ("r", "x", day, 6, "SHOP ONE", 3)], names + ", n bigint")
+    got = {tuple(r) for r in reparse.diff(facts, spark.createDataFrame([("f",)], "external_id string"), now).collect()}
+    assert got == {("MATCHED", "d", "d"), ("SHIFTED", "p", "a"), ("SHIFTED", "q", "c"), ("NEW", "r", None), ("MISSING", "b", "b"), ("MISSING", "e", "e")}
+
+
+def test_a_replayed_batch_appends_nothing(spark, tmp_path):
+    from tallyforge.streaming import ingest
+
+    path, rows = str(tmp_path / "t"), lambda *n: spark.createDataFrame([(i, "a", i * 10) for i in n], "n bigint, account_ref string, amount bigint")
+    for batch in (rows(1, 2, 2), rows(1, 2, 2), rows(2, 3), rows(2, 3)):
+        ingest.append_new(batch, path, ["n"])
+    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
