@@ -4,12 +4,16 @@ Texts are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\
 shingles (all words, if fewer).  Documents with the same word sequence are one *text*; its first row stands for it.
 Two texts are linked if their sets' Jaccard similarity is at least 0.8; classes are the connected components.
 
-The forest has ``TREES`` tries.  In each, a text's signature is a path of ``DEPTH`` MinHash values, and sorting paths puts
-texts with long common prefixes side by side.  The join begins at the full depth: in every node there, each text meets
-the node's texts of smallest hash (another one in each tree), which is linear in the node's size, and met pairs are verified
-exactly.  Then matched prefixes are shortened to the depth at which a pair of the least similarity shares a node of some
-tree with probability ``RECALL``.  There, texts of different classes meet their nodes' centres likewise, and then every pair of texts in a node that isn't in one class yet is verified,
-with no cap; pairs inside a class are skipped there, as they can't change any class.  ``n_links`` is the number of other
+The forest has ``TREES`` tries.  In each, a text's signature is a path of ``DEPTH`` MinHash values of 16 bits, packed into two
+numbers whose order is that of the paths.  All paths are sorted by tree and path, over all tasks by ranges, so a trie is a sorted
+table, a node at any depth is a run of it, and a big node is cut by the ranges, like any other rows.  One walk along each range
+gives every text its node's first text (centre) at each depth, from the full one up.
+
+The join begins at the full depth, in a few trees; met pairs are verified exactly and joined to classes.  Then matched prefixes
+are shortened level by level.  At each level only texts that stand in another class than their centre still meet it; prefixes
+are shortened no more once a pair of the least similarity shares a node of some tree with probability ``RECALL``.  At that
+depth every pair of texts of a node that isn't in one class yet is verified, with no cap and whatever ranges the node lies in;
+pairs inside a class are skipped there, as they can't change any class.  ``n_links`` is the number of other
 texts that a document's text is linked to.  All links lie inside classes, so every class is compared in block cells, each of
 which gives a count for each of its texts; no pair is written out.
 
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import kernels as K
@@ -34,6 +38,8 @@ from tallyforge.llm.common import annotate, cut, join_classes, numbered, settle
 
 SHINGLE, LEAST = 5, 0.8
 TREES, DEPTH, RECALL = 20, 8, 0.999
+#: Bits of a path's value, and values in one of the two numbers of a path.
+BITS, PACKED = 16, 4
 #: Trees whose full-depth nodes are used in the first step.
 FIRST_TREES = 8
 #: A block of a group has about so many texts or shingles at most.
@@ -41,7 +47,7 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
 #: The same where links of a class are counted.  A text goes to one cell for each block of its class, so blocks are larger.
 COUNT_TEXTS, COUNT_SHINGLES = 1024, 2_000_000
 _U = np.uint64
-FIELDS = "a bigint, b bigint, n_shingles int, deep array<bigint>, short array<bigint>"
+FIELDS = "a bigint, b bigint, n_shingles int, high array<bigint>, low array<bigint>"
 
 
 def adapted_depth(trees: int = TREES, depth: int = DEPTH, least: float = LEAST, recall: float = RECALL) -> int:
@@ -73,9 +79,11 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 class Forest:
-    """Paths of texts: hashes of their prefixes of full and of adapted depth, by tree."""
+    """Paths of texts by tree: the values of the first ``PACKED`` levels in one number, those of the others in a second."""
 
     def __init__(self, trees: int = TREES, depth: int = DEPTH, least: float = LEAST, recall: float = RECALL):
+        if not 1 <= depth <= 2 * PACKED:
+            raise ValueError(f"depth must be 1 to {2 * PACKED}")
         self.trees, self.depth, self.short = trees, depth, adapted_depth(trees, depth, least, recall)
         self.by = _multipliers(trees * depth)
 
@@ -92,20 +100,18 @@ class Forest:
                 for i, m in enumerate(self.by):
                     # The top bits of a product with an odd number are a well mixed order of the (already mixed) hashes.
                     least[i, some] = np.minimum.reduceat((hashes * m) >> _U(32), before[some])
-            deep, short = np.zeros((n, self.trees), _U), np.zeros((n, self.trees), _U)
+            values = K.mix(least) >> _U(64 - BITS)
+            high, low = np.zeros((n, self.trees), _U), np.zeros((n, self.trees), _U)
             for t in range(self.trees):
-                path = np.full(n, t + 1, _U)
                 for d in range(self.depth):
-                    path = K.mix(path * _U(0x9E3779B97F4A7C15) + least[t * self.depth + d])
-                    if d + 1 == self.short:
-                        short[:, t] = path
-                deep[:, t] = path
+                    half = high if d < PACKED else low
+                    half[:, t] |= values[t * self.depth + d] << _U(BITS * (PACKED - 1 - d % PACKED))
             up, down = K.powers(len(words) + 1)
             halves = []
             for salt in (0x51ED270B, 0x2545F491):
                 total = np.concatenate([np.zeros(1, _U), np.cumsum(K.mix(words ^ _U(salt)) * up[: len(words)])])
                 halves.append(K.mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(_U)))
-            for out, x in zip(made, (*halves, np.diff(before), deep, short), strict=True):
+            for out, x in zip(made, (*halves, np.diff(before), high, low), strict=True):
                 out.append(x)
         flat = [np.concatenate(x) if x else np.zeros((0, self.trees), _U) for x in made]
         lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * self.trees, pa.array(x.reshape(-1).view(np.int64))) for x in flat[3:]]
@@ -161,21 +167,57 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _nodes(texts: DataFrame, path: str, trees: int) -> DataFrame:
-    """(row, key): a row for each tree's node that a text is in."""
-    return texts.where(F.col("n_shingles") > 0).select(F.col("_row").alias("x"), F.explode(F.slice(path, 1, trees)).alias("key"))
+def _cut_path(high, low, depth: int, shift) -> tuple:
+    """The two numbers of a path's prefix of ``depth`` values."""
+    return (shift(high, BITS * max(0, PACKED - depth)), shift(low, BITS * (2 * PACKED - depth)) if depth > PACKED else low * 0)
 
 
-def star_pairs(texts: DataFrame, path: str, trees: int, roots: DataFrame | None = None) -> DataFrame:
-    """In each node, pairs of its texts with the node's text of smallest hash, unless they are in one class already."""
-    nodes = cut(_nodes(texts, path, trees))
-    order: Column = F.xxhash64("x", "key")
-    centres = cut(nodes.groupBy("key").agg(F.min_by("x", order).alias("y"), F.count("*").alias("n")).where(F.col("n") > 1))
-    met = join_classes(nodes, centres, ["key"], nodes.count()).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    if roots is None:
-        return met
-    met = met.join(roots.select(F.col("node").alias("x"), F.col("root").alias("_x")), "x", "left").join(roots.select(F.col("node").alias("y"), F.col("root").alias("_y")), "y", "left")
-    return met.where(F.coalesce("_x", "x") != F.coalesce("_y", "y")).select("x", "y")
+def tries(texts: DataFrame) -> DataFrame:
+    """(x, tree, high, low): a row for each path of each text that has shingles."""
+    paths = texts.where(F.col("n_shingles") > 0).select(F.col("_row").alias("x"), F.posexplode(F.arrays_zip("high", "low")).alias("tree", "_path"))
+    return paths.select("x", "tree", "_path.high", "_path.low")
+
+
+def centre_pairs(paths: DataFrame, forest: Forest) -> DataFrame:
+    """(x, y, step) from stored ``paths``: texts with the centres of their nodes, and the first step in which they meet.
+
+    Step 0 is the full depth of the first trees; steps 1, 2, ... are all trees at the full depth and at prefixes shortened by one more each.
+    A node that ranges cut has a centre in each.
+    """
+    depths = list(range(forest.depth, forest.short - 1, -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, centres = None, {}
+        for batch in batches:
+            x, tree, high, low = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(x):
+                continue
+            rows, found, above = np.arange(len(x)), [], x
+            for k, depth in enumerate(depths):
+                up, down = _cut_path(high, low, depth, np.right_shift)
+                begins = np.ones(len(x), bool)
+                begins[1:] = (tree[1:] != tree[:-1]) | (up[1:] != up[:-1]) | (down[1:] != down[:-1])
+                begins[0] = last is None or last[depth] != (tree[0], up[0], down[0])
+                start = np.maximum.accumulate(np.where(begins, rows, -1))
+                centre = np.where(start >= 0, x[start], centres.get(depth, -1))
+                centres[depth] = centre[-1]
+                new = (centre != x) & (centre != above)
+                step = np.where(tree[new] < FIRST_TREES, 0, 1) if k == 0 else np.full(new.sum(), k + 1)
+                found.append((np.minimum(x[new], centre[new]), np.maximum(x[new], centre[new]), step))
+                above = centre
+            last = {d: (tree[-1], *(h[0] for h in _cut_path(high[-1:], low[-1:], d, np.right_shift))) for d in depths}
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], names=["x", "y", "step"])
+
+    order = ["tree", "high", "low", "x"]
+    met = paths.select("x", "tree", "high", "low").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "x bigint, y bigint, step int")
+    return met.groupBy("x", "y").agg(F.min("step").alias("step"))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose texts aren't in one class."""
+    pairs = pairs.join(roots.select(F.col("node").alias("x"), F.col("root").alias("_x")), "x", "left").join(roots.select(F.col("node").alias("y"), F.col("root").alias("_y")), "y", "left")
+    return pairs.where(F.coalesce("_x", "x") != F.coalesce("_y", "y")).select("x", "y")
 
 
 def near(sets: list[np.ndarray], least: float) -> np.ndarray:
@@ -268,15 +310,17 @@ def over_cells(members: DataFrame, whole: DataFrame, compute, fields: str, least
     return cells.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "x").mapInArrow(run, fields)
 
 
-def cross_links(texts: DataFrame, roots: DataFrame, whole: DataFrame, trees: int, least: float) -> DataFrame:
-    """Links that join classes, from all pairs of texts of different classes that are near each other in the forest.
+def cross_links(texts: DataFrame, paths: DataFrame, roots: DataFrame, whole: DataFrame, short: int, least: float) -> DataFrame:
+    """Links that join classes, from all pairs of texts of different classes that share a node at the depth ``short``.
 
     Texts of nodes that hold several classes are gathered into groups (nodes that share a text are one group), compared in cells.
     """
-    nodes = _nodes(texts, "short", trees)
-    nodes = cut(nodes.join(roots.withColumnRenamed("node", "x"), "x", "left").select("x", "key", F.coalesce("root", "x").alias("root")))
-    open_ = cut(nodes.groupBy("key").agg(F.min("x").alias("y"), F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b")).select("key", "y", "n"))
-    left = cut(join_classes(nodes, open_, ["key"], nodes.count()).select("x", "root", "y").distinct())
+    key = ["tree", "up", "down"]
+    up, down = _cut_path(F.col("high"), F.col("low"), short, F.shiftright)
+    nodes = paths.select("x", "tree", up.alias("up"), down.alias("down"))
+    nodes = cut(nodes.join(roots.withColumnRenamed("node", "x"), "x", "left").select("x", *key, F.coalesce("root", "x").alias("root")))
+    open_ = cut(nodes.groupBy(*key).agg(F.min("x").alias("y"), F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("n")).where(F.col("_a") != F.col("_b")).select(*key, "y", "n"))
+    left = cut(join_classes(nodes, open_, key, nodes.count()).select("x", "root", "y").distinct())
     groups = components(left.where(F.col("x") != F.col("y")).select("x", "y").distinct()).select(F.col("node").alias("x"), F.col("root").alias("group"))
     members = cut(left.select("x", "root").distinct().join(groups, "x").join(texts.select(F.col("_row").alias("x"), "n_shingles"), "x"))
     return over_cells(members, whole, cell_links, "x bigint, y bigint", least, BLOCK_TEXTS, BLOCK_SHINGLES)
@@ -307,13 +351,17 @@ def join_similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     member = cut(paths.where(F.col("n_shingles") == 0).select("_row", F.col("_row").alias("_first"), F.lit(1).cast("long").alias("n")).unionByName(join_classes(solid.select("_row", "a", "b"), classes, ["a", "b"], n).select("_row", "_first", "n")))
     texts = paths.join(member.where(F.col("_row") == F.col("_first")).select("_row"), "_row", "left_semi")
     whole = rows.select("_row", "_text")
-    tried = cut(star_pairs(texts, "deep", min(FIRST_TREES, trees)))
-    links = cut(verify(tried, whole, least))
-    roots = components(links)
-    met = cut(star_pairs(texts, "short", trees, roots).join(tried, ["x", "y"], "left_anti"))
-    links = cut(links.unionByName(verify(met, whole, least)))
+    trie = cut(tries(texts))
+    met = cut(centre_pairs(trie, forest))
+    links = cut(verify(met.where("step = 0").select("x", "y"), whole, least))
     roots = components(links)
-    links = cut(links.unionByName(cross_links(texts, roots, whole, trees, least)).distinct())
+    for step in range(1, forest.depth - forest.short + 2):
+        left = cut(apart(met.where(F.col("step") == step), roots))
+        new = cut(verify(left, whole, least))
+        if new.limit(1).count():
+            links = cut(links.unionByName(new))
+            roots = components(links)
+    links = cut(links.unionByName(cross_links(texts, trie, roots, whole, forest.short, least)).distinct())
     roots = components(links)
     facts = roots.withColumnRenamed("node", "_first")
     if counted:

@@ -163,6 +163,43 @@ def test_near_copies(docs, empty):
     assert neardup.drop_similar(docs).columns == docs.columns
 
 
+def test_centres_of_trie_nodes(spark):
+    forest, r = neardup.Forest(trees=10, depth=8), random.Random(5)
+    assert forest.short == neardup.adapted_depth(10, 8)
+    forest.short = 3
+    paths = [(x, t, [r.choice([7, 65535]) if d > 1 else t for d in range(8)]) for x in range(60) for t in range(10)]
+    packed = lambda v: np.uint64(sum(n << (48 - 16 * i) for i, n in enumerate(v))).astype(np.int64).item()
+    table = spark.createDataFrame([(x, t, packed(v[:4]), packed(v[4:])) for x, t, v in paths], "x bigint, tree int, high bigint, low bigint")
+    met = neardup.centre_pairs(table.repartition(3), forest).collect()
+    at = {(x, t): v for x, t, v in paths}
+    first = lambda a, b: min(0 if d == 8 and t < neardup.FIRST_TREES else 9 - d for t in range(10) for d in range(3, 9) if at[a, t][:d] == at[b, t][:d])
+    assert met and all(m["x"] < m["y"] and m["step"] >= first(m["x"], m["y"]) for m in met)
+    assert {m["step"] for m in met} >= {0, 2, 3, 4, 5, 6}
+    # Within a range, a node's texts hang together; ranges here are few, so nearly all do at the least depth.
+    above = list(range(60))
+    for m in met:
+        a, b = above[m["x"]], above[m["y"]]
+        above = [min(a, b) if u in (a, b) else u for u in above]
+    assert len(set(above)) <= 2
+    with pytest.raises(ValueError):
+        neardup.Forest(depth=9)
+
+
+def test_pairs_just_over_the_limit_are_found(spark, tmp_path):
+    r, rows, sets = random.Random(8), [], []
+    for i in range(300):
+        words = prose(3000 + i, 120).split()
+        other = [*words[: 120 - (k := r.randint(8, 16))], *prose(9000 + i, k).split()]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        a, b = (set(neardup.shingle_set(t).tolist()) for _, t in rows[-2:])
+        sets.append(len(a & b) / len(a | b))
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = {x["doc_id"]: x["class_row"] for x in neardup.join_similar(spark.read.parquet(str(tmp_path / "d")), keep=["doc_id"]).collect()}
+    linked = {i for i in range(300) if got[2 * i] == got[2 * i + 1]}
+    over = {i for i, x in enumerate(sets) if x >= 0.8}
+    assert 50 < len(over) < 250 and linked <= over and len(linked) >= 0.99 * len(over)
+
+
 def test_links_of_dense_classes_are_counted(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(neardup, "COUNT_TEXTS", 7)
     base, r, rows = prose(500, 80).split(), random.Random(1), []
