@@ -42,6 +42,8 @@ TREES, DEPTH, RECALL = 20, 8, 0.999
 BITS, PACKED = 16, 4
 #: Trees whose full-depth nodes are used in the first step.
 FIRST_TREES = 8
+#: The step of texts at the borders of ranges; no step of the walk.
+BORDER = 2 * PACKED + 2
 #: A block of a group has about so many texts or shingles at most.
 BLOCK_TEXTS, BLOCK_SHINGLES = 256, 1_000_000
 #: The same where links of a class are counted.  A text goes to one cell for each block of its class, so blocks are larger.
@@ -182,12 +184,13 @@ def centre_pairs(paths: DataFrame, forest: Forest) -> DataFrame:
     """(x, y, step) from stored ``paths``: texts with the centres of their nodes, and the first step in which they meet.
 
     Step 0 is the full depth of the first trees; steps 1, 2, ... are all trees at the full depth and at prefixes shortened by one more each.
-    A node that ranges cut has a centre in each.
+    A node that ranges cut has a centre in each.  A range's first and last texts, whose node may go on beyond it, come with themselves too,
+    so every text of a node of several texts is named.
     """
     depths = list(range(forest.depth, forest.short - 1, -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, centres = None, {}
+        last, centres, end = None, {}, None
         for batch in batches:
             x, tree, high, low = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(x):
@@ -205,9 +208,14 @@ def centre_pairs(paths: DataFrame, forest: Forest) -> DataFrame:
                 step = np.where(tree[new] < FIRST_TREES, 0, 1) if k == 0 else np.full(new.sum(), k + 1)
                 found.append((np.minimum(x[new], centre[new]), np.maximum(x[new], centre[new]), step))
                 above = centre
+            if last is None:
+                found.append((x[:1], x[:1], np.full(1, BORDER)))
+            end = x[-1:]
             last = {d: (tree[-1], *(h[0] for h in _cut_path(high[-1:], low[-1:], d, np.right_shift))) for d in depths}
             columns = [np.concatenate(c) for c in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], names=["x", "y", "step"])
+        if end is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(end), pa.array(end), pa.array([BORDER], pa.int32())], names=["x", "y", "step"])
 
     order = ["tree", "high", "low", "x"]
     met = paths.select("x", "tree", "high", "low").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "x bigint, y bigint, step int")
@@ -350,9 +358,11 @@ def join_similar(docs: DataFrame, least: float = LEAST, recall: float = RECALL,
     # One row of each text goes on; texts that occur once need no join.
     member = cut(paths.where(F.col("n_shingles") == 0).select("_row", F.col("_row").alias("_first"), F.lit(1).cast("long").alias("n")).unionByName(join_classes(solid.select("_row", "a", "b"), classes, ["a", "b"], n).select("_row", "_first", "n")))
     texts = paths.join(member.where(F.col("_row") == F.col("_first")).select("_row"), "_row", "left_semi")
-    whole = rows.select("_row", "_text")
     trie = cut(tries(texts))
     met = cut(centre_pairs(trie, forest))
+    # Only texts that share a node with another are compared from here on.
+    named = cut(met.select(F.explode(F.array("x", "y")).alias("_row")).distinct())
+    whole = cut(rows.select("_row", "_text").join(named, "_row", "left_semi"))
     links = cut(verify(met.where("step = 0").select("x", "y"), whole, least))
     roots = components(links)
     for step in range(1, forest.depth - forest.short + 2):

@@ -172,6 +172,10 @@ def test_centres_of_trie_nodes(spark):
     table = spark.createDataFrame([(x, t, packed(v[:4]), packed(v[4:])) for x, t, v in paths], "x bigint, tree int, high bigint, low bigint")
     met = neardup.centre_pairs(table.repartition(3), forest).collect()
     at = {(x, t): v for x, t, v in paths}
+    named = {n for m in met for n in (m["x"], m["y"])}
+    assert {a for a in range(60) if any(at[a, t][:3] == at[b, t][:3] for b in range(60) if a != b for t in range(10))} <= named
+    assert all((m["x"] == m["y"]) == (m["step"] == neardup.BORDER) for m in met)
+    met = [m for m in met if m["x"] != m["y"]]
     first = lambda a, b: min(0 if d == 8 and t < neardup.FIRST_TREES else 9 - d for t in range(10) for d in range(3, 9) if at[a, t][:d] == at[b, t][:d])
     assert met and all(m["x"] < m["y"] and m["step"] >= first(m["x"], m["y"]) for m in met)
     assert {m["step"] for m in met} >= {0, 2, 3, 4, 5, 6}
