@@ -272,3 +272,28 @@ def test_a_replayed_batch_appends_nothing(spark, tmp_path):
     for batch in (rows(1, 2, 2), rows(1, 2, 2), rows(2, 3), rows(2, 3)):
         ingest.append_new(batch, path, ["n"])
     assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def held_against_sql(spark, name):
+    """The query's rows beside its SQL's, where a shuffle is split and merged as on larger tables."""
+    con = duckdb.connect()
+    for t in ("orders", "customer", "nation"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    sizes = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k"}
+    before = {k: spark.conf.get(k, None) for k in sizes}
+    try:
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        got = registry.queries()[name](spark, SF)
+        columns, rows = sorted(got.columns), got.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    result = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in result.description]
+    want = sorted(repr([r[names.index(c)] for c in columns]) for r in result.fetchall())
+    assert want and sorted(repr([r[c] for c in columns]) for r in rows) == want
+
+
+def test_ing_files_begin_with_their_header(spark):
+    held_against_sql(spark, "source_ing_csv")
