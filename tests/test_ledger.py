@@ -297,3 +297,7 @@ def held_against_sql(spark, name):
 
 def test_ing_files_begin_with_their_header(spark):
     held_against_sql(spark, "source_ing_csv")
+
+
+def test_bw_files_begin_with_their_header(spark):
+    held_against_sql(spark, "source_bw_csv")
