@@ -301,3 +301,7 @@ def test_ing_files_begin_with_their_header(spark):
 
 def test_bw_files_begin_with_their_header(spark):
     held_against_sql(spark, "source_bw_csv")
+
+
+def test_text_files_begin_with_their_heading(spark):
+    held_against_sql(spark, "source_cba_text")
