@@ -305,3 +305,17 @@ def test_bw_files_begin_with_their_header(spark):
 
 def test_text_files_begin_with_their_heading(spark):
     held_against_sql(spark, "source_cba_text")
+
+
+def folded(spark, rows):
+    """The fold of (n, action, commitment_id, id) with a declaration of pay-1 and pay-2 before; only the id x is known."""
+    from tallyforge.operators import commitments
+
+    day, names = dt.date(2000, 1, 1), "n bigint, action string, commitment_id string, id string, direction string, cadence string, amount_kind string, match string, account string, amount bigint, day date"
+    said = [(n, "DECLARE", c, None, "out", "weekly", "fixed", "shop", None, 5, day) for n, c in ((1, "pay-1"), (2, "pay-2"))] + [(*r, *[None] * 7) for r in rows]
+    return commitments.fold(spark.createDataFrame(said, names), spark.createDataFrame([("x", "x")], "id string, current_id string"))
+
+
+def test_an_exclusion_beside_a_bad_pin_of_its_number(spark):
+    got = folded(spark, [(5, "PIN", "pay-1", "nope"), (5, "EXCLUDE", "pay-2", "x"), (6, "EXCLUDE", "pay-1", "x"), (6, "EXCLUDE", "pay-1", "nope")])
+    assert [tuple(r) for r in got["exclusions"].select("commitment_id", "external_id", "decision_n").collect()] == [("pay-2", "x", 5)]
