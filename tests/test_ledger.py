@@ -319,3 +319,8 @@ def folded(spark, rows):
 def test_an_exclusion_beside_a_bad_pin_of_its_number(spark):
     got = folded(spark, [(5, "PIN", "pay-1", "nope"), (5, "EXCLUDE", "pay-2", "x"), (6, "EXCLUDE", "pay-1", "x"), (6, "EXCLUDE", "pay-1", "nope")])
     assert [tuple(r) for r in got["exclusions"].select("commitment_id", "external_id", "decision_n").collect()] == [("pay-2", "x", 5)]
+
+
+def test_decisions_without_effect_that_share_a_number(spark):
+    got = folded(spark, [(1, "EXCLUDE", "pay-1", "x"), (5, "PIN", "pay-1", "nope"), (5, "PIN", "pay-2", "nope"), (5, "EXCLUDE", "pay-2", "x"), (7, "RETIRE", "pay-1", None), (7, "PIN", "pay-1", "x")])
+    assert sorted(tuple(r) for r in got["without_effect"].collect()) == [(1, "EXCLUDE"), (5, "PIN"), (5, "PIN")]
