@@ -307,6 +307,16 @@ def test_text_files_begin_with_their_heading(spark):
     held_against_sql(spark, "source_cba_text")
 
 
+@pytest.mark.parametrize("more", ["", " where o_custkey % 30 <> 3 or o_orderkey % 7 >= 4", " where o_custkey % 30 <> 17 or o_orderkey = (select min(o_orderkey) from o where o_custkey % 30 = 17 and o_orderkey % 7 < 4)"])
+def test_bw_files_mix_signs_whatever_their_keys(spark, tmp_path, monkeypatch, more):
+    """An account's numbers are all even or all odd; files that are to mix signs have many debits, none or one."""
+    for t in ("orders", "customer", "nation"):
+        keys = "* replace (o_orderkey * 2 + o_custkey % 2 as o_orderkey)" if t == "orders" else "*"
+        duckdb.execute(f"copy (with o as (select {keys} from read_parquet('{SF}/{t}.parquet')) select * from o{more if t == 'orders' else ''}) to '{tmp_path}/{t}.parquet' (format parquet)")
+    monkeypatch.setitem(globals(), "SF", str(tmp_path))
+    held_against_sql(spark, "source_bw_csv")
+
+
 def folded(spark, rows):
     """The fold of (n, action, commitment_id, id) with a declaration of pay-1 and pay-2 before; only the id x is known."""
     from tallyforge.operators import commitments
