@@ -307,7 +307,7 @@ def test_text_files_begin_with_their_heading(spark):
     held_against_sql(spark, "source_cba_text")
 
 
-@pytest.mark.parametrize("more", ["", " where o_custkey % 30 <> 3 or o_orderkey % 7 >= 4", " where o_custkey % 30 <> 17 or o_orderkey = (select min(o_orderkey) from o where o_custkey % 30 = 17 and o_orderkey % 7 < 4)"])
+@pytest.mark.parametrize("more", ["", " union all select * from o", " where o_custkey % 30 <> 3 or o_orderkey % 7 >= 4", " where o_custkey % 30 <> 17 or o_orderkey = (select min(o_orderkey) from o where o_custkey % 30 = 17 and o_orderkey % 7 < 4)"])
 def test_bw_files_mix_signs_whatever_their_keys(spark, tmp_path, monkeypatch, more):
     """An account's numbers are all even or all odd; files that are to mix signs have many debits, none or one."""
     for t in ("orders", "customer", "nation"):
