@@ -317,6 +317,15 @@ def test_bw_files_mix_signs_whatever_their_keys(spark, tmp_path, monkeypatch, mo
     held_against_sql(spark, "source_bw_csv")
 
 
+@pytest.mark.parametrize("priority", ["substr(o_orderpriority, 1, 2)", "rpad(o_orderpriority, 15, ' ')", "concat(o_orderpriority, chr(13), chr(10), 'AGAIN', chr(9))"])
+def test_texts_keep_descriptions_with_white_space_at_their_ends(spark, tmp_path, monkeypatch, priority):
+    for t in ("orders", "customer", "nation"):
+        held = f"* replace ({priority} as o_orderpriority)" if t == "orders" else "*"
+        duckdb.execute(f"copy (select {held} from read_parquet('{SF}/{t}.parquet')) to '{tmp_path}/{t}.parquet' (format parquet)")
+    monkeypatch.setitem(globals(), "SF", str(tmp_path))
+    held_against_sql(spark, "source_cba_text")
+
+
 def folded(spark, rows):
     """The fold of (n, action, commitment_id, id) with a declaration of pay-1 and pay-2 before; only the id x is known."""
     from tallyforge.operators import commitments
